@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import loading  # noqa: F401
+from . import loading, money  # noqa: F401

@@ -21,6 +21,7 @@ def local_session(cores: int | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("slotwise")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "8g")
     )
