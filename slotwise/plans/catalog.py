@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import loading, loyalty, money  # noqa: F401
+from . import boards, loading, loyalty, money  # noqa: F401

@@ -69,7 +69,8 @@ SELECT CONCAT('part_',CAST(p_partkey AS STRING)) AS setting_key,
 SELECT DISTINCT l_suppkey*1000000+l_partkey AS id, l_suppkey AS shop_id, p_name AS name,
   CASE p_type WHEN 'ECONOMY' THEN 'nail' WHEN 'MEDIUM' THEN 'eyelash' WHEN 'PROMO' THEN 'waxing' WHEN 'STANDARD' THEN 'eyebrow_tattoo' ELSE 'hair' END AS category,
   CAST(FLOOR(p_retailprice) AS BIGINT)*50 AS price_min, CAST(FLOOR(p_retailprice) AS BIGINT)*80 AS price_max, 30+p_size*3 AS duration_minutes,
-  CASE WHEN p_size%3=0 THEN 20000 END AS deposit_amount, 24 AS cancellation_hours
+  CASE WHEN p_size%3=0 THEN 20000 END AS deposit_amount,
+  CAST(CASE WHEN p_size%3=1 THEN 25.00 END AS DECIMAL(5,2)) AS deposit_percentage, 24 AS cancellation_hours
 FROM lineitem JOIN part ON l_partkey=p_partkey""",
     "reservations": """
 SELECT l_orderkey*100000+l_suppkey AS id, MIN(o_custkey) AS user_id, l_suppkey AS shop_id,

@@ -168,6 +168,7 @@ def shop_services(t: Tables) -> DataFrame:
         (price * 80).alias("price_max"),
         (30 + _c("p_size") * 3).alias("duration_minutes"),
         F.when(_c("p_size") % 3 == 0, F.lit(20000)).alias("deposit_amount"),
+        F.when(_c("p_size") % 3 == 1, F.lit("25.00")).cast("decimal(5,2)").alias("deposit_percentage"),
         F.lit(24).alias("cancellation_hours"),
     )
 
