@@ -2,10 +2,169 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, DataFrame
+import datetime as dt
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.clock import at
 from .referrals import referral_counters
 
+# Steps of the booking funnel, in order.
+FUNNEL_STEPS = ("app_open", "search_performed", "shop_viewed", "reservation_created", "payment_completed")
+
+
+def _rows(df: DataFrame) -> Column:
+    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def platform_overview(tables) -> DataFrame:
+    """One row: users, shops, open bookings."""
+    active = F.count_if(F.col("status").isin("requested", "confirmed"))
+    return tables["reservations"].agg(active.alias("active_reservations")).select(
+        _rows(tables["users"]).alias("total_users"), _rows(tables["shops"]).alias("total_shops"), "active_reservations"
+    )
+
+
+def recent_activity(tables, size: int = 50) -> DataFrame:
+    """The newest registrations and shop applications together."""
+    order = [F.desc("created_at"), F.col("kind"), F.col("id")]
+    joined = tables["users"].select(F.lit("user_registered").alias("kind"), "id", "name", "created_at")
+    applied = tables["shop_applications"].select(
+        F.lit("shop_application").alias("kind"), "id", F.col("shop_name").alias("name"), "created_at"
+    )
+    # Each side gives its newest rows, so only two short lists are merged.
+    return joined.orderBy(*order).limit(size).unionByName(applied.orderBy(*order).limit(size)).orderBy(*order).limit(size)
+
+
+def admin_user_search(users: DataFrame, text: str, status: str | None = None) -> DataFrame:
+    """Users whose name, email or phone contains ``text``."""
+    needle = text.lower()
+    found = users.filter(
+        F.lower("name").contains(needle) | F.lower("email").contains(needle) | F.col("phone_number").contains(needle)
+    )
+    return found if status is None else found.filter(F.col("user_status") == status)
+
+
+def payment_list(payments: DataFrame) -> DataFrame:
+    """Payments by state, deposit and balance apart, with what is left after refunds."""
+    return payments.groupBy("payment_status", "is_deposit").agg(
+        F.count(F.lit(1)).alias("payments"), F.sum("amount").alias("amount"), F.sum("refund_amount").alias("refunded"),
+        F.sum(F.col("amount") - F.col("refund_amount")).alias("net_amount"),
+    )
+
+
+def live_announcements(announcements: DataFrame, role: str, as_of: dt.datetime) -> DataFrame:
+    """Announcements shown to a role now, important ones first, then the latest."""
+    now = at(as_of)
+    return announcements.filter(
+        F.col("is_active")
+        & (F.col("starts_at") <= now)
+        & (F.col("ends_at").isNull() | (F.col("ends_at") >= now))
+        & (F.col("target_user_type").isNull() | F.array_contains("target_user_type", role))
+    ).orderBy(F.desc("is_important"), F.desc("starts_at"), "id")
+
+
+def live_faqs(faqs: DataFrame) -> DataFrame:
+    return faqs.filter("is_active").orderBy("category", "display_order", "id")
+
+
+def unread_counts(notifications: DataFrame) -> DataFrame:
+    return notifications.filter(F.col("status") == "unread").groupBy("user_id", "notification_type").agg(
+        F.count(F.lit(1)).alias("unread")
+    )
+
+
+def moderation_queue(reports: DataFrame) -> DataFrame:
+    """Waiting reports per target and reason, most reported first."""
+    return (
+        reports.filter(F.col("status") == "pending")
+        .groupBy("reported_content_type", "reported_content_id", "reason")
+        .agg(F.count(F.lit(1)).alias("reports"), F.min("created_at").alias("first_reported_at"))
+        .orderBy(F.desc("reports"), "first_reported_at", "reported_content_id", "reason")
+    )
+
+
+def event_funnel(events: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS) -> DataFrame:
+    """Users who did each step after the one before, and the share that got there.
+
+    A user reaches a step with the first such event at or after reaching the step before. Each
+    step scans its own kind of event; what is carried along is one row per user.
+    """
+    reached: DataFrame | None = None
+    counts: list[Column] = []
+    frames: list[DataFrame] = []
+    for number, step in enumerate(steps):
+        own = events.filter(F.col("event_type") == step).select("user_id", "ts")
+        if reached is not None:
+            own = own.join(reached, "user_id").filter(F.col("ts") >= F.col("reached_at"))
+        reached = own.groupBy("user_id").agg(F.min("ts").alias("reached_at"))
+        frames.append(reached.agg(F.count(F.lit(1)).alias("n")))
+        counts.append(frames[-1].scalar())
+    line = F.array(
+        *[
+            F.struct(
+                F.lit(i + 1).alias("step_number"), F.lit(step).alias("step"), F.col(f"n{i}").alias("users"),
+                F.round(F.col(f"n{i}") / F.nullif(F.col(f"n{max(i - 1, 0)}"), F.lit(0)), 4).alias("from_previous"),
+                F.round(F.col(f"n{i}") / F.nullif(F.col("n0"), F.lit(0)), 4).alias("from_first"),
+            )
+            for i, step in enumerate(steps)
+        ]
+    )
+    last = frames[-1].select(
+        *[count.alias(f"n{i}") for i, count in enumerate(counts[:-1])], F.col("n").alias(f"n{len(steps) - 1}")
+    )
+    return last.select(F.inline(line))
+
+
+def retention(reservations: DataFrame) -> DataFrame:
+    """Users of each first-booking month that booked again ``month_offset`` months later."""
+    month = F.trunc(F.col("created_at").cast("date"), "month")
+    active = reservations.select("user_id", month.alias("month")).distinct()
+    first = active.groupBy("user_id").agg(F.min("month").alias("cohort"))
+    offset = F.months_between("month", "cohort").cast("int")
+    counted = (
+        active.join(first, "user_id")
+        .groupBy("cohort", offset.alias("month_offset"))
+        .agg(F.count(F.lit(1)).alias("active_users"))
+    )
+    size = counted.filter(F.col("month_offset") == 0).select("cohort", F.col("active_users").alias("cohort_size"))
+    return counted.join(size, "cohort").withColumn(
+        "retention_rate", F.round(F.col("active_users") / F.col("cohort_size"), 4)
+    )
+
+
+def feature_usage(events: DataFrame, approximate: bool = False) -> DataFrame:
+    """Events and different users per kind and day; the approximate count needs no second shuffle."""
+    users = F.approx_count_distinct("user_id") if approximate else F.count_distinct("user_id")
+    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
+        F.count(F.lit(1)).alias("events"), users.alias("users")
+    )
+
+
+def onboarding_success(applications: DataFrame) -> DataFrame:
+    """Approved share of decided applications per month and category."""
+    status = F.col("application_status")
+    approved, rejected = F.count_if(status == "approved"), F.count_if(status == "rejected")
+    return (
+        applications.groupBy(
+            F.trunc(F.col("created_at").cast("date"), "month").alias("month"), F.col("main_category").alias("category")
+        )
+        .agg(
+            F.count(F.lit(1)).alias("applications"), approved.alias("approved"), rejected.alias("rejected"),
+            F.count_if(status == "pending").alias("pending"),
+        )
+        .withColumn(
+            "approval_rate",
+            F.round(F.col("approved") / F.nullif(F.col("approved") + F.col("rejected"), F.lit(0)), 4),
+        )
+    )
+
+
+def error_report(errors: DataFrame) -> DataFrame:
+    return errors.groupBy(F.to_date("created_at").alias("day"), "severity", "category").agg(
+        F.count(F.lit(1)).alias("errors")
+    )
+
 
 def profile_stats(tables) -> DataFrame:
     """Points, referrals and bookings of each user."""
@@ -21,3 +180,13 @@ def profile_stats(tables) -> DataFrame:
         .join(bookings, "user_id", "left")
         .na.fill(0, ["reservation_count", "completed_count"])
     )
+
+
+def shop_total_bookings(tables) -> DataFrame:
+    """Rebuild the booking counter of every shop."""
+    counted = tables["reservations"].groupBy("shop_id").agg(F.count(F.lit(1)).alias("bookings"))
+    return (
+        tables["shops"].select(F.col("id").alias("shop_id"))
+        .join(counted, "shop_id", "left")
+        .select("shop_id", F.coalesce("bookings", F.lit(0)).alias("total_bookings"))
+    )

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import boards, finding, loading, loyalty, money  # noqa: F401
+from . import boards, finding, loading, loyalty, money, reports  # noqa: F401

@@ -162,6 +162,17 @@ FROM reservations WHERE status IN ('confirmed','cancelled_by_shop')""",
     "reviews": """
 SELECT CONCAT('V',CAST(id AS STRING)) AS id, id AS reservation_id, user_id, shop_id, CAST(1+id%5 AS INT) AS rating, created_at
 FROM reservations WHERE id%4=0""",
+    "faqs": """
+SELECT a.conv_id AS id, CASE a.conv_id%3 WHEN 0 THEN 'booking' WHEN 1 THEN 'points' ELSE 'account' END AS category, a.text AS question, b.text AS answer,
+  CAST(a.conv_id%20 AS INT) AS display_order, a.conv_id%6<>0 AS is_active
+FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id WHERE a.turn=0 AND b.turn=1""",
+    "shop_images": """
+SELECT CONCAT(CAST(s_suppkey AS STRING),'-',CAST(d AS STRING)) AS id, s_suppkey AS shop_id, d AS display_order FROM supplier CROSS JOIN (VALUES (0),(1)) AS t(d)""",
+    "service_images": """
+SELECT CONCAT('img-',CAST(id AS STRING)) AS id, id AS service_id FROM shop_services WHERE id%3=0""",
+    "reservation_actions": """
+SELECT CONCAT('A',CAST(id AS STRING)) AS id, id AS reservation_id, status AS action, shop_id AS performed_by, 'requested' AS previous_status,
+  status AS new_status, created_at FROM reservations WHERE status IN ('confirmed','cancelled_by_shop')""",
     "posts": """
 SELECT doc_id AS id, text AS content, source AS region, lang AS language,
   CASE doc_id%8 WHEN 0 THEN 'hidden' WHEN 1 THEN 'reported' WHEN 2 THEN 'deleted' ELSE 'active' END AS status,

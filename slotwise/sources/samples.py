@@ -496,6 +496,40 @@ def announcements(t: Tables) -> DataFrame:
     )
 
 
+def faqs(t: Tables) -> DataFrame:
+    """First question and answer of each conversation."""
+    asked = t["conversations"].filter(_c("turn") == 0).select("conv_id", _c("text").alias("question"))
+    answered = t["conversations"].filter(_c("turn") == 1).select("conv_id", _c("text").alias("answer"))
+    return asked.join(answered, "conv_id").select(
+        _c("conv_id").alias("id"),
+        _pick(_c("conv_id") % 3, "booking", "points", "account").alias("category"),
+        "question", "answer",
+        (_c("conv_id") % 20).cast("int").alias("display_order"),
+        (_c("conv_id") % 6 != 0).alias("is_active"),
+    )
+
+
+def shop_images(t: Tables) -> DataFrame:
+    k = _c("s_suppkey")
+    return t["supplier"].select(k, F.explode(F.array(F.lit(0), F.lit(1))).alias("display_order")).select(
+        _text(k, "-", _c("display_order")).alias("id"), k.alias("shop_id"), "display_order"
+    )
+
+
+def service_images(t: Tables) -> DataFrame:
+    return t["shop_services"].filter(_c("id") % 3 == 0).select(
+        _text("img-", _c("id")).alias("id"), _c("id").alias("service_id")
+    )
+
+
+def reservation_actions(t: Tables) -> DataFrame:
+    return t["reservations"].filter(_c("status").isin("confirmed", "cancelled_by_shop")).select(
+        _text("A", _c("id")).alias("id"), _c("id").alias("reservation_id"), _c("status").alias("action"),
+        _c("shop_id").alias("performed_by"), F.lit("requested").alias("previous_status"),
+        _c("status").alias("new_status"), "created_at",
+    )
+
+
 def category_settings(t: Tables) -> DataFrame:
     """One settings row per part: a settings table that grows with the data."""
     k = _c("p_partkey")
@@ -519,7 +553,8 @@ _DERIVED = (
     shop_notification_settings, shop_services, reservations, reservation_services, payments,
     point_transactions, shop_settlements, settlement_transfers, app_events, error_logs, user_favorites,
     hours_changes, shop_applications, promotions, promotion_usages, promotion_claims, notifications,
-    reviews, posts, content_reports, announcements, category_settings,
+    reviews, posts, content_reports, announcements, faqs, shop_images, service_images,
+    reservation_actions, category_settings,
 )
 
 
