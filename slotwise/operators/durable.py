@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the session's checkpoint folder, see ``cut_lineage``."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        root = tempfile.mkdtemp(prefix="slotwise-")
+    return f"{root}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import boards, finding, guards, loading, loyalty, money, reports  # noqa: F401
+from . import boards, finding, guards, live, loading, loyalty, money, reports  # noqa: F401

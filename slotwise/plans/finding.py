@@ -20,7 +20,7 @@ def _km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 
 @query("nearby_shops", f"""
-SELECT user_id, shop_id, distance_km, position FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY distance_km, shop_id) AS position
+SELECT user_id, shop_id, distance_km, position FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY distance_km, shop_id) AS INT) AS position
   FROM (SELECT u.id AS user_id, s.id AS shop_id, {_km('u.latitude', 'u.longitude', 's.latitude', 's.longitude')} AS distance_km
     FROM users u CROSS JOIN {ACTIVE} s) d) r WHERE position<=30""")
 def _(t):
@@ -31,7 +31,7 @@ EXPOSURE = "CASE WHEN shop_type='partnered' THEN 0 ELSE 1 END, partnership_start
 
 
 @query("shop_exposure", f"""
-SELECT id, name, shop_type, partnership_started_on, position FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {EXPOSURE}) AS position FROM {ACTIVE} s) x
+SELECT id, name, shop_type, partnership_started_on, position FROM (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {EXPOSURE}) AS INT) AS position FROM {ACTIVE} s) x
 WHERE position BETWEEN 1 AND 30""")
 def _(t):
     return discovery.shop_exposure(t["shops"])
@@ -47,7 +47,7 @@ def _(t):
 
 @query("shop_exposure_by_category", f"""
 WITH m AS ({MEMBERS}) SELECT id, category, shop_type, partnership_started_on, position FROM (
-  SELECT s.id, m.category, s.shop_type, s.partnership_started_on, ROW_NUMBER() OVER (PARTITION BY m.category ORDER BY {EXPOSURE}) AS position
+  SELECT s.id, m.category, s.shop_type, s.partnership_started_on, CAST(ROW_NUMBER() OVER (PARTITION BY m.category ORDER BY {EXPOSURE}) AS INT) AS position
   FROM m JOIN {ACTIVE} s ON s.id=m.shop_id) x WHERE position<=30""")
 def _(t):
     return discovery.shop_exposure_by_category(t["shops"])
@@ -99,7 +99,7 @@ ORDERS = {
 
 @query("shop_sorts", f"WITH rated AS ({RATINGS}), cards AS ({CARDS})\n" + "\nUNION ALL ".join(
     f"SELECT '{mode}' AS mode, position, shop_id, created_at, distance_km, lowest_price, bookings, rating FROM "
-    f"(SELECT *, ROW_NUMBER() OVER (ORDER BY {order}, shop_id) AS position FROM cards) x WHERE position<=30"
+    f"(SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {order}, shop_id) AS INT) AS position FROM cards) x WHERE position<=30"
     for mode, order in ORDERS.items()
 ))
 def _(t):
@@ -109,7 +109,7 @@ def _(t):
 
 @query("popular_shops", f"""
 SELECT s.id, s.name, s.main_category, COALESCE(b.n,0) AS bookings,
-  DENSE_RANK() OVER (PARTITION BY s.main_category ORDER BY COALESCE(b.n,0) DESC) AS popularity_rank
+  CAST(DENSE_RANK() OVER (PARTITION BY s.main_category ORDER BY COALESCE(b.n,0) DESC) AS INT) AS popularity_rank
 FROM {ACTIVE} s LEFT JOIN (SELECT shop_id, COUNT(*) AS n FROM reservations GROUP BY shop_id) b ON b.shop_id=s.id""")
 def _(t):
     return discovery.popular_shops(t)

@@ -563,4 +563,6 @@ def open_samples(spark: SparkSession, directory: str) -> Tables:
     builders.update({f.__name__: f for f in _DERIVED})
     builders["system_settings"] = lambda _t: seeds.settings(spark)
     builders["settlement_schedules"] = lambda _t: seeds.schedules(spark)
-    return Tables(builders)
+    tables = Tables(builders)
+    tables.spark, tables.directory = spark, directory
+    return tables
