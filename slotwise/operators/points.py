@@ -150,11 +150,11 @@ def points_history(ledger: DataFrame, tab: str = "all", page: int | None = None)
     flag = F.when(wanted, 1).otherwise(0)
     rows = ledger.select("id", "user_id", "created_at", "transaction_type", "amount", "status")
     totals = running_totals(
-        rows, "user_id", "created_at", "id", {"balance_after": F.col("amount"), "position": flag}
+        rows, "user_id", "created_at", "id", {"balance_after": F.col("amount"), "position": flag},
+        finals={"rows_in_tab": "position"},
     ).filter(wanted)
-    counts = ledger.filter(wanted).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows_in_tab"))
     newest = F.col("rows_in_tab") - F.col("position")
-    result = totals.join(counts, "user_id").select(
+    result = totals.select(
         "id", "user_id", "created_at", "transaction_type", "amount", "status", "balance_after", "position",
         F.when(F.col("amount") > 0, "earned").otherwise("used").alias("tab"),
         F.floor(newest / PAGE_SIZE).cast("long").alias("page"),

@@ -14,12 +14,19 @@ _CARRY = "__carry"
 
 
 def running_totals(
-    df: DataFrame, key: str, moment: str, tiebreak: str, totals: dict[str, Column]
+    df: DataFrame,
+    key: str,
+    moment: str,
+    tiebreak: str,
+    totals: dict[str, Column],
+    finals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running sums of ``totals`` per ``key`` in the order (``moment``, ``tiebreak``).
 
     Rows with a NULL ``moment`` come first. ``(moment, tiebreak)`` must be unique per key.
+    ``finals`` names columns for the last value that a running sum reaches.
     """
+    finals = finals or {}
     dated = df.withColumn(_DAY, F.to_date(moment))
     for name, value in totals.items():
         dated = dated.withColumn(name, value)
@@ -31,6 +38,7 @@ def running_totals(
         F.col(key).alias("__key"),
         F.col(_DAY).alias("__on"),
         *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(_CARRY + name) for name in totals],
+        *[F.sum(name).over(Window.partitionBy(key)).alias(final) for final, name in finals.items()],
     )
     within = Window.partitionBy(key, _DAY).orderBy(
         F.col(moment).asc_nulls_first(), F.col(tiebreak)
@@ -42,7 +50,9 @@ def running_totals(
         carried, (F.col(key) == F.col("__key")) & F.col(_DAY).eqNullSafe(F.col("__on"))
     )
     return joined.select(
-        *df.columns, *[(F.col(name) + F.col(_CARRY + name)).cast("long").alias(name) for name in totals]
+        *df.columns,
+        *[(F.col(name) + F.col(_CARRY + name)).cast("long").alias(name) for name in totals],
+        *finals,
     )
 
 
