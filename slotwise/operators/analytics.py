@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import at
 from .referrals import referral_counters
+from .spread import join_per_key
 
 # Steps of the booking funnel, in order.
 FUNNEL_STEPS = ("app_open", "search_performed", "shop_viewed", "reservation_created", "payment_completed")
 
-# Parts that the events of one user are split into where they meet a row of that user.
-SALTS = 16
-
 
 def _rows(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -91,21 +89,15 @@ def event_funnel(events: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS) -> Da
     """Users who did each step after the one before, and the share that got there.
 
     A user reaches a step with the first such event at or after reaching the step before. Each
-    step scans its own kind of event; what is carried along is one row per user. Events are
-    salted and that row is repeated per salt, so a user with very many events is split.
+    step scans its own kind of event; what is carried along is one row per user.
     """
     reached: DataFrame | None = None
     counts: list[Column] = []
     frames: list[DataFrame] = []
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     for step in steps:
         own = events.filter(F.col("event_type") == step).select("user_id", "ts")
         if reached is not None:
-            own = (
-                own.withColumn("salt", F.pmod(F.hash("ts"), F.lit(SALTS)))
-                .join(reached.withColumn("salt", F.explode(salts)), ["user_id", "salt"])
-                .filter(F.col("ts") >= F.col("reached_at"))
-            )
+            own = join_per_key(own, reached, "user_id", "ts").filter(F.col("ts") >= F.col("reached_at"))
         reached = own.groupBy("user_id").agg(F.min("ts").alias("reached_at"))
         frames.append(reached.agg(F.count(F.lit(1)).alias("n")))
         counts.append(frames[-1].scalar())

@@ -9,21 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the session's checkpoint folder, see ``cut_lineage``."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder under the session's checkpoint folder, or under a temporary
+    one where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = tempfile.mkdtemp(prefix="slotwise-")
     return f"{root}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read on from there.
+    """Write ``df`` to a new folder under the session's checkpoint folder and read on from there.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only where it names none,
-    as in tests on one machine, a temporary folder stands in.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Only where it names none, as
+    in tests on one machine, a temporary folder stands in. A written table is used rather than a
+    checkpoint because that hands the constraints of its plan on, which grow with every round.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="slotwise-checkpoint-"))
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -10,7 +10,7 @@ from ..functions.clock import at, midnight, month_start, plus_days
 from ..functions.money import award_points
 from .durable import cut_lineage
 from .settings import number
-from .spread import running_totals
+from .spread import join_per_key, running_totals
 
 # Award rules where the settings do not say otherwise, and the award's text.
 AWARD_PERCENT = "2.5"
@@ -189,16 +189,16 @@ def point_redemption(
     asked = requests.select("request_id", "user_id", "requested_at", "amount")
     sizes = asked.groupBy("user_id").agg(F.count(F.lit(1)).alias("asked"))
     funded = sizes.join(balances.select("user_id", "available_points"), "user_id", "left").select(
-        "user_id", F.coalesce("available_points", F.lit(0)).alias("funds"), "asked"
+        "user_id", F.coalesce("available_points", F.lit(0)).cast("long").alias("funds"), "asked"
     )
-    few = _folded(asked, funded.filter(F.col("asked") <= fold_limit))
-    many = funded.filter(F.col("asked") > fold_limit).select("user_id", "funds")
-    if many.isEmpty():
+    queued = join_per_key(asked, funded, "user_id", "request_id")
+    few = _folded(queued.filter(F.col("asked") <= fold_limit).drop("asked"))
+    if funded.filter(F.col("asked") > fold_limit).isEmpty():
         return few
-    return few.unionByName(_rounds(asked, many))
+    return few.unionByName(_rounds(queued.filter(F.col("asked") > fold_limit).drop("asked")))
 
 
-def _folded(asked: DataFrame, funded: DataFrame) -> DataFrame:
+def _folded(queued: DataFrame) -> DataFrame:
     fields = F.struct("requested_at", "request_id", "amount")
     start = F.struct(
         F.col("funds").cast("long").alias("left"),
@@ -213,8 +213,7 @@ def _folded(asked: DataFrame, funded: DataFrame) -> DataFrame:
         )
 
     return (
-        asked.join(funded.select("user_id", "funds"), "user_id")
-        .groupBy("user_id", "funds")
+        queued.groupBy("user_id", "funds")
         .agg(F.sort_array(F.collect_list(fields)).alias("queue"))
         .withColumn("taken", F.aggregate("queue", start, step)["taken"])
         .select("user_id", F.explode(F.arrays_zip("queue", "taken")).alias("x"))
@@ -222,7 +221,7 @@ def _folded(asked: DataFrame, funded: DataFrame) -> DataFrame:
     )
 
 
-def _rounds(asked: DataFrame, funded: DataFrame) -> DataFrame:
+def _rounds(queued: DataFrame) -> DataFrame:
     """Decide long queues in at most ``log2(funds) + 1`` rounds.
 
     Against the points left, a request is *small* (at most half) or *big*. Up to the first
@@ -231,7 +230,7 @@ def _rounds(asked: DataFrame, funded: DataFrame) -> DataFrame:
     accepted and leaves less than half, so the points left halve with every round.
     """
     decided: list[DataFrame] = []
-    live = cut_lineage(asked.join(funded, "user_id"))
+    live = cut_lineage(queued)
     while not live.isEmpty():
         fits = (F.col("amount") > 0) & (F.col("amount") <= F.col("funds"))
         decided.append(live.filter(~fits).select("request_id", "user_id", "amount", F.lit(False).alias("accepted")))
@@ -248,7 +247,7 @@ def _rounds(asked: DataFrame, funded: DataFrame) -> DataFrame:
             F.min(F.struct(place.alias("place"), (F.col("funds") - cost).alias("rest"))).alias("first")
         )
         judged = cut_lineage(
-            summed.join(first, "user_id", "left").withColumn(
+            join_per_key(summed, first, "user_id", "request_id", "left").withColumn(
                 "accepted",
                 F.when(F.col("first").isNull() | (place < F.col("first.place")), small)
                 .when(place == F.col("first.place"), True),

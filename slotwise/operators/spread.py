@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Parts that the rows of one key are split into where they meet a row of that key.
+SALTS = 16
+
 _DAY = "__day"
 _CARRY = "__carry"
 
@@ -88,3 +91,14 @@ def first_valid(requests: DataFrame, valid: Column, key: str, seq: str) -> DataF
         .withColumn("accepted", F.col("__won").isNotNull())
         .drop("__won")
     )
+
+
+def join_per_key(df: DataFrame, per_key: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Join many rows with the one row of their key, without gathering a large key in one task.
+
+    Rows are salted by ``spread_by`` and the single rows are repeated once per salt. Unlike the
+    run-time split of skewed joins this also works where an aggregate follows.
+    """
+    salted = df.withColumn("__salt", F.pmod(F.hash(spread_by), F.lit(SALTS)))
+    repeated = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [key, "__salt"], how).drop("__salt")
