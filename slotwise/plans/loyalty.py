@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import points, referrals
+from ..operators import analytics, points, referrals
 from .registry import AS_OF, query
 
 NOW = "TIMESTAMP '2001-07-15 12:00:00'"
@@ -210,6 +210,4 @@ WITH c AS ({COUNTERS}) SELECT c.user_id, c.name, u.total_points, u.available_poi
 FROM c JOIN users u ON u.id=c.user_id LEFT JOIN (SELECT user_id, COUNT(*) AS n, COUNT(CASE WHEN status='completed' THEN 1 END) AS done
   FROM reservations GROUP BY user_id) r ON r.user_id=c.user_id""")
 def _(t):
-    from ..operators.analytics import profile_stats
-
-    return profile_stats(t)
+    return analytics.profile_stats(t)
