@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan
+from . import bpe, exact_dedup, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
+    return encoded.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
