@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, packing, repeats, secret_scan, toxicity
+from . import bpe, exact_dedup, jaccard_join, nn_descent, packing, repeats, secret_scan, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked, _ = nn_descent.near_links(table(spark, sf_dir, "embeddings"))
+    return linked.withColumnRenamed("id", "vec_id")
