@@ -189,19 +189,24 @@ def shared_shingles(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, common.astype(np.int64)
 
 
+def text_key(text_col: str) -> Column:
+    """Sixteen bytes that stand for a text."""
+    return F.substring(F.unhex(F.sha2(whole_text(text_col), 256)), 1, 16)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id, n_links, kept, group_key.
+    """One row per input row: id, class_id, n_links, kept, group_key, text_key.
 
     ``n_links`` counts the other rows whose text has similarity 0.8 or more, copies included;
-    ``class_id`` is the smallest id reachable over links; ``kept`` marks rows whose id it is.
+    ``class_id`` is the smallest id reachable over links; ``kept`` marks rows whose id it is. Rows of
+    one class have one ``group_key``, and ``text_key`` stands for the row's own text.
     Null texts count as empty; texts without words have no shingle and link with nothing, not even
     with each other, so they stay in classes of their own. Repeated rows are copies of each other
     and share a class, and ids that are null give way to others (a class of nulls has a null
     class_id and keeps its rows). An empty table gives an empty result.
     """
     parts = parts_of(docs.sparkSession)
-    key = F.substring(F.unhex(F.sha2(whole_text(text_col), 256)), 1, 16)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), whole_text(text_col).alias("text"))
 
     def sketch(stream):
         sent = set()
@@ -300,6 +305,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .otherwise(F.col("class_id")).alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
             F.coalesce("component", "key").alias("group_key"),
+            F.col("key").alias("text_key"),
         )
         .withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
     )

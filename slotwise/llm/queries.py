@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, nn_descent, packing, repeats, secret_scan, toxicity
+from . import bpe, exact_dedup, jaccard_join, license_scan, nn_descent, packing, repeats, secret_scan, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked, _ = nn_descent.near_links(table(spark, sf_dir, "embeddings"))
     return linked.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

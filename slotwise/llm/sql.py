@@ -63,4 +63,54 @@ SELECT d.id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0)
 FROM d LEFT JOIN g ON g.id IS NOT DISTINCT FROM d.id AND g.text_key = d.text_key
 """
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2}
+OP5 = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[position('://' IN url) + 3:] ELSE '' END AS rest
+           FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+        list_filter(string_split(path, '/'), lambda x: x <> '') AS raw FROM h),
+g AS (SELECT page_id, host, path, rule,
+             CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+             list_concat(list_transform(raw[:8], lambda x: CASE
+               WHEN regexp_full_match(x, '[0-9]+') THEN '{n}'
+               WHEN regexp_full_match(x, '[0-9]+[.][A-Za-z0-9]+') THEN '{n}.' || regexp_extract(x, '[.]([A-Za-z0-9]+)$', 1)
+               WHEN regexp_full_match(x, '[0-9a-fA-F-]{16,}') THEN '{hash}' ELSE x END),
+               CASE WHEN len(raw) > 8 THEN ['{more}'] ELSE [] END) AS segments FROM r),
+v AS (SELECT host, place, count(*) AS n, count(DISTINCT value) AS many
+      FROM (SELECT host, unnest(segments) AS value, unnest(range(1, len(segments) + 1)) AS place FROM g)
+      GROUP BY host, place),
+w AS (SELECT host, list(place) AS wide FROM v WHERE many > 20 AND many * 2 > n GROUP BY host),
+p AS (SELECT page_id, g.host, path, rule, ruled,
+             CASE WHEN wide IS NULL THEN segments ELSE list_transform(segments, lambda x, i:
+               CASE WHEN list_contains(wide, i) THEN '*' ELSE x END) END AS parts
+      FROM g LEFT JOIN w ON w.host = g.host),
+t AS (SELECT host, parts, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled FROM p GROUP BY host, parts),
+c AS (SELECT host, parts, blocked, labelled, unnest(range(0, len(parts) + 1)) AS depth FROM t),
+n AS (SELECT host, depth, parts[:depth] AS node, CASE WHEN depth > 0 THEN parts[:depth - 1] END AS parent,
+             sum(blocked) AS blocked, sum(labelled) AS labelled FROM c GROUP BY ALL),
+f AS (SELECT *, sum(blocked) OVER s / greatest(sum(labelled) OVER s, 1) AS share
+      FROM n WINDOW s AS (PARTITION BY host, depth, parent)),
+a AS (SELECT *, abs(blocked - labelled * share) <= 2.0 * sqrt(labelled * share * (1 - share)) + 0.5 AS alike FROM f),
+m AS (SELECT *, CASE WHEN alike THEN sum(blocked) OVER s ELSE blocked END::DOUBLE AS b,
+             CASE WHEN alike THEN sum(labelled) OVER s ELSE labelled END::DOUBLE AS k
+      FROM a WINDOW s AS (PARTITION BY host, depth, parent, alike)),
+o AS (SELECT coalesce(sum(blocked), 0) / greatest(coalesce(sum(labelled), 0), 1) AS overall FROM t),
+q AS (SELECT parts, (sum(blocked) + 4.0 * any_value(overall)) / (sum(labelled) + 4.0) AS prior FROM t, o GROUP BY parts),
+z AS (SELECT c.host, c.parts, list(struct_pack(b := m.b, k := m.k) ORDER BY c.depth) AS steps
+      FROM c JOIN m ON m.host = c.host AND m.depth = c.depth AND m.node = c.parts[:c.depth] GROUP BY c.host, c.parts),
+y AS (SELECT host, z.parts, round(list_reduce(list_prepend(struct_pack(b := prior::DOUBLE, k := 0.0::DOUBLE), steps),
+             lambda x, s: struct_pack(b := (s.b + 4.0::DOUBLE * x.b) / (s.k + 4.0::DOUBLE), k := 0.0::DOUBLE)).b, 9) AS purity
+      FROM z JOIN q ON q.parts = z.parts)
+SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       array_to_string(p.parts, '/') AS template, purity
+FROM p JOIN y ON y.host = p.host AND y.parts = p.parts
+"""
+
+SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op5_url_templates": OP5}
