@@ -258,23 +258,27 @@ def shop_cards(tables, latitude: float, longitude: float) -> DataFrame:
     )
 
 
-# Sort mode -> order.
+# Sort mode -> number to sort by, smallest first; cards without one come last.
 SORTS = {
-    "distance": lambda: [F.asc_nulls_last("distance_km")],
-    "rating": lambda: [F.desc_nulls_last("rating")],
-    "price_low": lambda: [F.asc_nulls_last("lowest_price")],
-    "price_high": lambda: [F.desc_nulls_last("lowest_price")],
-    "newest": lambda: [F.desc("created_at")],
-    "popularity": lambda: [F.desc("bookings")],
+    "distance": lambda: F.col("distance_km"),
+    "rating": lambda: -F.col("rating"),
+    "price_low": lambda: F.col("lowest_price").cast("double"),
+    "price_high": lambda: -F.col("lowest_price").cast("double"),
+    "newest": lambda: -F.unix_micros(F.col("created_at").cast("timestamp")).cast("double"),
+    "popularity": lambda: -F.col("bookings").cast("double"),
 }
 
 
-def shop_sorts(cards: DataFrame, mode: str, page: int = 0) -> DataFrame:
-    """One page of shop cards in the order of ``mode``."""
-    order = [*SORTS[mode](), F.col("shop_id")]
-    top = cards.orderBy(*order).offset(page * PAGE_SIZE).limit(PAGE_SIZE)
-    place = F.row_number().over(Window.partitionBy(F.lit(mode)).orderBy(*order))
-    return top.select(F.lit(mode).alias("mode"), (place + page * PAGE_SIZE).alias("position"), "*")
+def shop_sorts(cards: DataFrame, modes: tuple[str, ...] = tuple(SORTS), page: int = 0) -> DataFrame:
+    """One page of shop cards in the order of each mode; the cards are made once for all.
+
+    Each task keeps only the first rows of a mode before they are exchanged.
+    """
+    keys = F.array(*[F.struct(F.lit(m).alias("mode"), SORTS[m]().cast("double").alias("by")) for m in modes])
+    place = F.row_number().over(Window.partitionBy("mode").orderBy(F.asc_nulls_last("by"), "shop_id"))
+    last = (page + 1) * PAGE_SIZE
+    ranked = cards.withColumn("key", F.explode(keys)).select("key.mode", "key.by", *cards.columns).withColumn("position", place)
+    return ranked.filter(F.col("position") <= last).filter(F.col("position") > last - PAGE_SIZE).select("mode", "position", *cards.columns)
 
 
 def popular_shops(tables) -> DataFrame:

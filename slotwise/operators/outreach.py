@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import at
+from .spread import running_totals
+
+# The switch of each kind of notice; kinds that are not named have only the one for all.
+SWITCHES = {
+    "reservation_confirmed": "reservation_notifications",
+    "reservation_cancelled": "reservation_notifications",
+    "point_earned": "event_notifications",
+    "referral_success": "event_notifications",
+    "promotion": "marketing_notifications",
+}
 
 CONDITIONS = "min_amount BIGINT, category STRING"
 BENEFITS = "discount_rate BIGINT"
@@ -52,8 +63,10 @@ def promotion_usage(tables) -> DataFrame:
 def promotion_eligibility(tables, claims: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Whether each claim may use its promotion, with the first reason against it.
 
-    Claims: claim_id, promotion_id, user_id, amount, category. Usage is counted before it is
-    joined, per promotion and per promotion and user.
+    Claims: claim_id, promotion_id, user_id, amount, category, claimed_at. Usage is counted before
+    it is joined, per promotion and per promotion and user. Claims count against each other in order
+    of (claimed_at, claim_id): those beyond what is left to their user go first, and of the others
+    those beyond what is left of the promotion, which is what deciding one by one gives.
     """
     offers = parsed_promotions(tables["promotions"]).select(
         F.col("id").alias("promotion_id"), live(as_of).alias("is_live"), "min_amount", "only_category", "readable",
@@ -73,24 +86,43 @@ def promotion_eligibility(tables, claims: DataFrame, as_of: dt.datetime) -> Data
         .when(~F.col("readable"), "unreadable conditions")
         .when(F.col("amount") < F.col("min_amount"), "amount too small")
         .when(F.col("category") != F.col("only_category"), "other category")
-        .when(F.col("used") >= F.col("usage_limit"), "used up")
-        .when(F.col("used_by_user") >= F.col("usage_limit_per_user"), "used up by user")
     )
-    return joined.select(
+    fit = joined.withColumn("unfit", reason).withColumn("pair", F.concat_ws(":", "promotion_id", "user_id")).withColumn(
+        "offer", F.coalesce(F.col("promotion_id").cast("string"), F.lit(""))
+    )
+    counted = lambda condition: F.when(condition, 1).otherwise(0)
+    own_turn = running_totals(fit, "pair", "claimed_at", "claim_id", {"own_turn": counted(F.col("unfit").isNull())})
+    within = F.coalesce(F.col("used_by_user") + F.col("own_turn") <= F.col("usage_limit_per_user"), F.lit(True))
+    turn = running_totals(
+        own_turn.withColumn("within", within), "offer", "claimed_at", "claim_id",
+        {"turn": counted(F.col("unfit").isNull() & F.col("within"))},
+    )
+    reason = (
+        F.when(F.col("unfit").isNotNull(), F.col("unfit"))
+        .when(~F.col("within"), "used up by user")
+        .when(F.col("used") + F.col("turn") > F.col("usage_limit"), "used up")
+    )
+    return turn.select(
         "claim_id", "promotion_id", "user_id", reason.isNull().alias("eligible"), reason.alias("reason"),
         F.when(reason.isNull(), F.floor(F.col("amount") * F.col("discount_rate") / 100).cast("long")).alias("discount"),
     )
 
 
 def notification_targets(tables) -> DataFrame:
-    """Active devices of users who want to hear about their bookings, per notification."""
-    wants = tables["user_settings"].filter(
-        F.col("push_notifications_enabled") & F.col("reservation_notifications")
-    ).select("user_id")
-    devices = tables["push_tokens"].filter("is_active").select("user_id", "token", "platform").join(
-        wants, "user_id", "left_semi"
+    """Active devices of users who want to hear about a kind of notice, per notification.
+
+    Each kind has its own switch (``SWITCHES``) below the one for all; system notices have only that.
+    """
+    wants = tables["user_settings"].filter("push_notifications_enabled").select("user_id", *sorted(set(SWITCHES.values())))
+    devices = tables["push_tokens"].filter("is_active").select("user_id", "token", "platform").join(wants, "user_id")
+    kind = F.col("notification_type")
+    wanted = reduce(
+        lambda so_far, name: so_far.when(kind == name, F.col(SWITCHES[name])), SWITCHES, F.when(F.lit(False), F.lit(False))
+    ).otherwise(F.lit(True))
+    return (
+        tables["notifications"].select("id", "user_id", "notification_type").join(devices, "user_id").filter(wanted)
+        .select("id", "user_id", "notification_type", "token", "platform")
     )
-    return tables["notifications"].select("id", "user_id", "notification_type").join(devices, "user_id")
 
 
 def owner_notification_targets(tables, events: DataFrame) -> DataFrame:

@@ -20,9 +20,6 @@ BONUS_MULTIPLIER = "2.0"
 AWARD_TEXT = "서비스 이용 적립"
 PAGE_SIZE = 30
 
-# Users with at most this many requests are decided in one row each, others in rounds.
-FOLD_LIMIT = 1000
-
 
 def _sum_where(condition: Column, value: Column | str = "amount") -> Column:
     value = F.col(value) if isinstance(value, str) else value
@@ -174,55 +171,25 @@ def points_overview(ledger: DataFrame) -> DataFrame:
     )
 
 
-def point_redemption(
-    requests: DataFrame, balances: DataFrame, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def point_redemption(requests: DataFrame, balances: DataFrame) -> DataFrame:
     """Decide requests to spend points, each user's in order of (requested_at, request_id).
 
     A request is accepted if the points left cover it; a rejected one costs nothing.
     Requests: request_id, user_id, requested_at, amount. Balances: user_id, available_points.
 
-    Order matters, so a plain running sum is not enough. Users with few requests are folded as
-    one bounded array each. A user with more is decided in rounds that never hold the group in
-    one task, see ``_rounds``.
+    Order matters, so a plain running sum is not enough. All users are decided together in
+    rounds that never hold a user's requests in one task, see ``_rounds``.
     """
     asked = requests.select("request_id", "user_id", "requested_at", "amount")
-    sizes = asked.groupBy("user_id").agg(F.count(F.lit(1)).alias("asked"))
-    funded = sizes.join(balances.select("user_id", "available_points"), "user_id", "left").select(
-        "user_id", F.coalesce("available_points", F.lit(0)).cast("long").alias("funds"), "asked"
-    )
-    queued = join_per_key(asked, funded, "user_id", "request_id")
-    few = _folded(queued.filter(F.col("asked") <= fold_limit).drop("asked"))
-    if funded.filter(F.col("asked") > fold_limit).isEmpty():
-        return few
-    return few.unionByName(_rounds(queued.filter(F.col("asked") > fold_limit).drop("asked")))
-
-
-def _folded(queued: DataFrame) -> DataFrame:
-    fields = F.struct("requested_at", "request_id", "amount")
-    start = F.struct(
-        F.col("funds").cast("long").alias("left"),
-        F.array().cast("array<boolean>").alias("taken"),
-    )
-
-    def step(state: Column, x: Column) -> Column:
-        ok = (x["amount"] > 0) & (x["amount"] <= state["left"])
-        return F.struct(
-            (state["left"] - F.when(ok, x["amount"]).otherwise(0)).cast("long").alias("left"),
-            F.array_append(state["taken"], ok).alias("taken"),
-        )
-
-    return (
-        queued.groupBy("user_id", "funds")
-        .agg(F.sort_array(F.collect_list(fields)).alias("queue"))
-        .withColumn("taken", F.aggregate("queue", start, step)["taken"])
-        .select("user_id", F.explode(F.arrays_zip("queue", "taken")).alias("x"))
-        .select("x.queue.request_id", "user_id", "x.queue.amount", F.col("x.taken").alias("accepted"))
+    users = asked.select("user_id").distinct()
+    funded = users.join(balances.select("user_id", "available_points"), "user_id", "left").select(
+        "user_id", F.coalesce("available_points", F.lit(0)).cast("long").alias("funds")
     )
+    return _rounds(join_per_key(asked, funded, "user_id", "request_id"))
 
 
 def _rounds(queued: DataFrame) -> DataFrame:
-    """Decide long queues in at most ``log2(funds) + 1`` rounds.
+    """Decide queues in at most ``log2(funds) + 1`` rounds.
 
     Against the points left, a request is *small* (at most half) or *big*. Up to the first
     event every small request fits and every big one does not. The event is the first small

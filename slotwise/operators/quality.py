@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.masking import is_mobile, mask_email, mask_id, mask_phone
+from ..functions.masking import is_mobile, mask_email, mask_name, mask_phone
 from ..sources import model
 
 
@@ -86,7 +86,7 @@ def key_violations(tables, names: list[str]) -> DataFrame:
 
 def pii_masked(users: DataFrame) -> DataFrame:
     return users.select(
-        "id", mask_id(F.col("name")).alias("name"), mask_phone(F.col("phone_number")).alias("phone_number"),
+        "id", mask_name(F.col("name")).alias("name"), mask_phone(F.col("phone_number")).alias("phone_number"),
         mask_email(F.col("email")).alias("email"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import at, in_days
 from ..functions.masking import mask_id
+from .durable import cut_lineage
 
 # Referrals and paying referrals an influencer needs, alphabet of codes.
 INFLUENCER_REFERRALS = 50
@@ -86,7 +87,7 @@ def _friend(tables) -> DataFrame:
 
 
 def referral_earnings(tables, first: dt.date, last: dt.date, zone: str | None = None) -> DataFrame:
-    """Points per referrer and friend in a period, and per referrer in all (``friend`` NULL)."""
+    """Points per referrer and friend in a period, and per referrer in all (``is_total``)."""
     pairs = (
         _rewards(tables, first, last, zone)
         .groupBy(F.col("user_id").alias("referrer_id"), F.col("related_user_id").alias("friend_id"))
@@ -100,6 +101,7 @@ def referral_earnings(tables, first: dt.date, last: dt.date, zone: str | None =
         F.sum("points").alias("points"),
         F.sum("rewards").alias("rewards"),
         F.count(F.lit(1)).alias("friends"),
+        (F.grouping("friend_id") == 1).alias("is_total"),
     )
 
 
@@ -125,20 +127,26 @@ def _code(key: Column, turn: int, length: int) -> Column:
     return F.concat(*letters)
 
 
-def referral_codes(users: DataFrame, rounds: int = 3, length: int = CODE_LENGTH) -> dict[str, DataFrame]:
-    """Give every user without a code one that nobody has.
+def referral_codes(users: DataFrame, length: int = CODE_LENGTH) -> DataFrame:
+    """Give every user without a code one that nobody has: (id, code).
 
     Codes come from a digest of the user key, so a second run gives the same ones. Who loses a
-    clash tries again with another digest in the next round. ``unassigned`` holds those without
-    a code after the last round; it is empty unless codes are nearly used up.
+    clash tries again with another digest, until nobody is left; with codes of eight characters
+    that is a round or two. Where more users ask than codes are left, it fails.
     """
-    taken = users.filter(F.col("referral_code").isNotNull()).select(F.col("referral_code").alias("code"))
+    held = users.filter(F.col("referral_code").isNotNull()).select(F.col("referral_code").alias("code"))
     open_ids = users.filter(F.col("referral_code").isNull()).select("id")
-    assigned: DataFrame | None = None
-    for turn in range(rounds):
+    left = len(CODE_ALPHABET) ** length - held.distinct().count()
+    if open_ids.count() > left:
+        raise ValueError(f"only {left} codes of {length} characters are left")
+    taken, assigned, turn = held, None, 0
+    while assigned is None or not open_ids.isEmpty():
         tried = open_ids.withColumn("code", _code(F.col("id"), turn, length))
-        won = tried.groupBy("code").agg(F.min("id").alias("id")).join(taken, "code", "left_anti").select("id", "code")
+        won = cut_lineage(
+            tried.groupBy("code").agg(F.min("id").alias("id")).join(taken, "code", "left_anti").select("id", "code")
+        )
         assigned = won if assigned is None else assigned.unionByName(won)
         taken = taken.unionByName(won.select("code"))
-        open_ids = open_ids.join(won, "id", "left_anti")
-    return {"assigned": assigned, "unassigned": open_ids}
+        open_ids = cut_lineage(open_ids.join(won, "id", "left_anti"))
+        turn += 1
+    return assigned

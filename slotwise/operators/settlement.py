@@ -36,6 +36,7 @@ def shop_settlement(
     tables, first: dt.date, last: dt.date, zone: str | None = None, active_only: bool = False
 ) -> DataFrame:
     """Per shop: gross, commission, net and count of bookings completed in ``[first, last]``.
+    Shops without any have zeros.
 
     Sums per shop come first, so a busy shop is combined on the map side and meets its rate
     as one row. Commission is rounded down once, on the sum.
@@ -53,7 +54,8 @@ def shop_settlement(
             "shop_id",
         )
     fee = floor_percent_of(F.col("gross_revenue"), F.col("rate"))
-    return sums.join(rates, "shop_id").select(
+    settled = rates.join(sums, "shop_id", "left").na.fill(0, ["gross_revenue", "booking_count"])
+    return settled.select(
         "shop_id",
         "rate",
         "gross_revenue",
@@ -80,7 +82,7 @@ def settlement_batch(
 ) -> dict[str, DataFrame]:
     """A batch and the settlements of every active shop with completed bookings in it."""
     name = batch_name(F.lit(period), F.lit(first), F.lit(last))
-    settlements = shop_settlement(tables, first, last, zone, active_only=True).select(
+    settlements = shop_settlement(tables, first, last, zone, active_only=True).filter("booking_count > 0").select(
         F.concat_ws("-", F.lit(period), F.lit(first).cast("string"), F.col("shop_id").cast("string")).alias(
             "settlement_id"
         ),
@@ -321,7 +323,8 @@ def settlement_status(tables, shops: DataFrame | None = None) -> DataFrame:
 
 def monthly_revenue(tables) -> DataFrame:
     """Gross, commission, refunds and payout per month of completion or refund, with subtotals
-    per month and overall (``rollup``). Commission keeps the applied rate, rounded down per
+    per month and overall (``level`` is 1 for all types of a month and 3 for all months, so that a
+    missing month in the data is no total). Commission keeps the applied rate, rounded down per
     shop and month."""
     per_shop = (
         tables["reservations"].filter(F.col("status") == "completed")
@@ -336,13 +339,9 @@ def monthly_revenue(tables) -> DataFrame:
     )
     refunded = (
         tables["payments"].filter(F.col("refund_amount") > 0)
-        .select("reservation_id", "refund_amount")
-        .join(
-            tables["reservations"].filter(F.col("cancelled_at").isNotNull())
-            .select(F.col("id").alias("reservation_id"), "shop_id", "cancelled_at"),
-            "reservation_id",
-        )
-        .groupBy(F.trunc(local_date(F.col("cancelled_at")), "month").alias("month"), "shop_id")
+        .select("reservation_id", "refund_amount", "refunded_at")
+        .join(tables["reservations"].select(F.col("id").alias("reservation_id"), "shop_id"), "reservation_id")
+        .groupBy(F.trunc(local_date(F.col("refunded_at")), "month").alias("month"), "shop_id")
         .agg(F.sum("refund_amount").alias("refunds"))
         .join(tables["shops"].select(F.col("id").alias("shop_id"), "shop_type"), "shop_id")
         .select(
@@ -358,5 +357,6 @@ def monthly_revenue(tables) -> DataFrame:
             F.sum("commission").alias("commission"),
             F.sum("refunds").alias("refunds"),
             F.sum(F.col("gross") - F.col("commission")).alias("payout_due"),
+            F.grouping_id().cast("int").alias("level"),
         )
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import discovery
@@ -103,8 +101,7 @@ ORDERS = {
     for mode, order in ORDERS.items()
 ))
 def _(t):
-    cards = discovery.shop_cards(t, 37.5665, 126.978)
-    return reduce(lambda a, b: a.unionByName(b), [discovery.shop_sorts(cards, mode) for mode in discovery.SORTS])
+    return discovery.shop_sorts(discovery.shop_cards(t, 37.5665, 126.978))
 
 
 @query("popular_shops", f"""

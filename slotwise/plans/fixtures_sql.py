@@ -23,7 +23,7 @@ SELECT c_custkey AS id, c_name AS name, CONCAT('u',CAST(c_custkey AS STRING),'@e
 FROM customer""",
     "user_settings": """
 SELECT c_custkey AS user_id, c_custkey%6<>0 AS push_notifications_enabled, c_custkey%4<>0 AS reservation_notifications,
-  c_custkey%3=0 AS marketing_notifications FROM customer""",
+  c_custkey%5<>1 AS event_notifications, c_custkey%3=0 AS marketing_notifications FROM customer""",
     "push_tokens": """
 SELECT c_custkey AS user_id, CONCAT('tok-',CAST(c_custkey AS STRING),'-ios') AS token, 'ios' AS platform, c_custkey%5<>0 AS is_active FROM customer
 UNION ALL SELECT c_custkey, CONCAT('tok-',CAST(c_custkey AS STRING),'-android'), 'android', TRUE FROM customer WHERE c_custkey%3=0""",
@@ -66,14 +66,14 @@ SELECT CONCAT('part_',CAST(p_partkey AS STRING)) AS setting_key,
   p_type AS category, p_partkey%5<>4 AS is_active,
   TIMESTAMP '2001-01-01 00:00:00'+INTERVAL '1' DAY*CAST(p_partkey%200 AS INT) AS updated_at FROM part""",
     "shop_services": """
-SELECT DISTINCT l_suppkey*1000000+l_partkey AS id, l_suppkey AS shop_id, p_name AS name,
+SELECT DISTINCT l_suppkey*2147483648+l_partkey AS id, l_suppkey AS shop_id, p_name AS name,
   CASE p_type WHEN 'ECONOMY' THEN 'nail' WHEN 'MEDIUM' THEN 'eyelash' WHEN 'PROMO' THEN 'waxing' WHEN 'STANDARD' THEN 'eyebrow_tattoo' ELSE 'hair' END AS category,
   CAST(FLOOR(p_retailprice) AS BIGINT)*50 AS price_min, CAST(FLOOR(p_retailprice) AS BIGINT)*80 AS price_max, 30+p_size*3 AS duration_minutes,
   CASE WHEN p_size%3=0 THEN 20000 END AS deposit_amount,
   CAST(CASE WHEN p_size%3=1 THEN 25.00 END AS DECIMAL(5,2)) AS deposit_percentage, 24 AS cancellation_hours
 FROM lineitem JOIN part ON l_partkey=p_partkey""",
     "reservations": """
-SELECT l_orderkey*100000+l_suppkey AS id, MIN(o_custkey) AS user_id, l_suppkey AS shop_id,
+SELECT l_orderkey*134217728+l_suppkey AS id, MIN(o_custkey) AS user_id, l_suppkey AS shop_id,
   CAST(MIN(l_shipdate) AS DATE) AS reservation_date, 540+30*CAST((l_orderkey*7+l_suppkey)%18 AS INT) AS reservation_minute,
   CASE MIN(o_orderstatus) WHEN 'F' THEN 'completed'
     WHEN 'O' THEN CASE WHEN MIN(l_returnflag)='N' THEN 'requested' ELSE 'confirmed' END
@@ -85,16 +85,19 @@ SELECT l_orderkey*100000+l_suppkey AS id, MIN(o_custkey) AS user_id, l_suppkey A
   MIN(o_orderdate) AS created_at
 FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY l_orderkey,l_suppkey""",
     "reservation_services": """
-SELECT l_orderkey*100000+l_suppkey AS reservation_id, l_suppkey*1000000+l_partkey AS service_id,
+SELECT l_orderkey*134217728+l_suppkey AS reservation_id, l_suppkey*2147483648+l_partkey AS service_id,
   CAST(l_quantity AS INT) AS quantity, 5*CAST(FLOOR(l_extendedprice) AS BIGINT) AS total_price FROM lineitem""",
     "payments": """
-SELECT p.*, CASE reservation_id%5 WHEN 0 THEN 'card' WHEN 1 THEN 'kakao_pay' WHEN 2 THEN 'naver_pay' WHEN 3 THEN 'toss_payments' ELSE 'bank_transfer' END AS payment_method,
-  CASE WHEN payment_status='refunded' THEN amount ELSE 0 END AS refund_amount FROM (
+SELECT p.* EXCLUDE (cancel_or_made), CASE reservation_id%5 WHEN 0 THEN 'card' WHEN 1 THEN 'kakao_pay' WHEN 2 THEN 'naver_pay' WHEN 3 THEN 'toss_payments' ELSE 'bank_transfer' END AS payment_method,
+  CASE WHEN payment_status='refunded' THEN amount WHEN payment_status='fully_paid' AND reservation_id%17=0 THEN 1000 ELSE 0 END AS refund_amount,
+  CASE WHEN payment_status='refunded' THEN cancel_or_made+INTERVAL '1' DAY WHEN payment_status='fully_paid' AND reservation_id%17=0 THEN paid_at+INTERVAL '40' DAY END AS refunded_at
+  FROM (
 SELECT CONCAT('D',CAST(id AS STRING)) AS id, id AS reservation_id, user_id, TRUE AS is_deposit,
   CASE WHEN status='cancelled_by_shop' THEN 'refunded' ELSE 'deposit_paid' END AS payment_status,
-  CAST(FLOOR(total_amount*0.3) AS BIGINT) AS amount, created_at AS paid_at FROM reservations WHERE status<>'requested'
+  CAST(FLOOR(total_amount*0.3) AS BIGINT) AS amount, created_at AS paid_at,
+  COALESCE(cancelled_at,created_at) AS cancel_or_made FROM reservations WHERE status<>'requested'
 UNION ALL SELECT CONCAT('B',CAST(id AS STRING)), id, user_id, FALSE, CASE WHEN id%11=0 THEN 'pending' ELSE 'fully_paid' END,
-  total_amount-CAST(FLOOR(total_amount*0.3) AS BIGINT), CASE WHEN id%11<>0 THEN completed_at END FROM reservations WHERE status='completed') p""",
+  total_amount-CAST(FLOOR(total_amount*0.3) AS BIGINT), CASE WHEN id%11<>0 THEN completed_at END, NULL FROM reservations WHERE status='completed') p""",
     "point_transactions": """
 SELECT CONCAT('E',CAST(id AS STRING)) AS id, user_id, id AS reservation_id, 'earned_service' AS transaction_type,
   CAST(FLOOR(LEAST(total_amount,300000)*CAST(0.025 AS DECIMAL(4,3))) AS BIGINT) AS amount,
@@ -153,12 +156,13 @@ SELECT l_partkey AS promotion_id, o_custkey AS user_id, l_shipdate AS used_at FR
     "promotion_claims": """
 SELECT CONCAT(CAST(l_orderkey AS STRING),'-',CAST(l_partkey AS STRING),'-',CAST(l_suppkey AS STRING)) AS claim_id, l_partkey AS promotion_id,
   o_custkey AS user_id, CAST(FLOOR(l_extendedprice) AS BIGINT) AS amount,
-  CASE l_suppkey%4 WHEN 0 THEN 'nail' WHEN 1 THEN 'eyelash' WHEN 2 THEN 'waxing' ELSE 'eyebrow_tattoo' END AS category
+  CASE l_suppkey%4 WHEN 0 THEN 'nail' WHEN 1 THEN 'eyelash' WHEN 2 THEN 'waxing' ELSE 'eyebrow_tattoo' END AS category, l_shipdate AS claimed_at
 FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber=5""",
     "notifications": """
-SELECT CONCAT('N',CAST(id AS STRING)) AS id, user_id, CASE status WHEN 'confirmed' THEN 'reservation_confirmed' ELSE 'reservation_cancelled' END AS notification_type,
+SELECT CONCAT('N',CAST(id AS STRING)) AS id, user_id, CASE status WHEN 'confirmed' THEN 'reservation_confirmed' WHEN 'cancelled_by_shop' THEN 'reservation_cancelled'
+  ELSE CASE id%4 WHEN 0 THEN 'point_earned' WHEN 1 THEN 'referral_success' ELSE 'system' END END AS notification_type,
   CASE id%3 WHEN 0 THEN 'unread' WHEN 1 THEN 'read' ELSE 'deleted' END AS status, id AS related_id, created_at
-FROM reservations WHERE status IN ('confirmed','cancelled_by_shop')""",
+FROM reservations WHERE status IN ('confirmed','cancelled_by_shop') OR (status='completed' AND id%4<>3)""",
     "reviews": """
 SELECT CONCAT('V',CAST(id AS STRING)) AS id, id AS reservation_id, user_id, shop_id, CAST(1+id%5 AS INT) AS rating, created_at
 FROM reservations WHERE id%4=0""",
@@ -178,7 +182,7 @@ SELECT doc_id AS id, text AS content, source AS region, lang AS language,
   CASE doc_id%8 WHEN 0 THEN 'hidden' WHEN 1 THEN 'reported' WHEN 2 THEN 'deleted' ELSE 'active' END AS status,
   TIMESTAMP '2001-01-01 00:00:00'+INTERVAL '1' DAY*CAST(doc_id%365 AS INT) AS created_at FROM documents""",
     "content_reports": """
-SELECT doc_id AS id, doc_id%(SELECT COUNT(*) FROM customer) AS reporter_id, 'post' AS reported_content_type, doc_id%37 AS reported_content_id,
+SELECT doc_id AS id, doc_id%(SELECT COUNT(*) FROM customer) AS reporter_id, 'post' AS reported_content_type, doc_id-doc_id%7 AS reported_content_id,
   CASE WHEN toxic=1 THEN 'harassment' WHEN quality=0 THEN 'spam' WHEN doc_id%5=0 THEN 'copyright' ELSE 'other' END AS reason,
   CASE doc_id%3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'rejected' END AS status,
   TIMESTAMP '2001-03-01 00:00:00'+INTERVAL '1' DAY*CAST(doc_id%100 AS INT) AS created_at FROM labels""",

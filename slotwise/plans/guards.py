@@ -148,10 +148,19 @@ def _(t):
 
 
 @query("pii_masked", """
-SELECT id, SUBSTR(name,1,6) AS name, CONCAT(SPLIT_PART(phone_number,'-',1),'-****-',SPLIT_PART(phone_number,'-',3)) AS phone_number,
-  CONCAT(SUBSTR(email,1,1),'***@',SPLIT_PART(email,'@',2)) AS email FROM users""")
+SELECT id, CASE WHEN id%8 IN (0,1) THEN '***' WHEN id%8=2 THEN '김***' ELSE SUBSTR(name,1,1)||'***' END AS name,
+  CASE WHEN id%8=3 THEN '***' ELSE '***-****-**'||LPAD(CAST((id*7)%100 AS STRING),2,'0') END AS phone_number,
+  CASE WHEN id%8 IN (0,4) THEN '***' ELSE 'u***@example.com' END AS email FROM users""")
 def _(t):
-    return quality.pii_masked(t["users"])
+    # Names of one and of three characters, numbers without hyphens, foreign and broken, addresses that are none.
+    kind = F.col("id") % 8
+    people = t["users"].withColumns({
+        "name": F.when(kind == 0, "이").when(kind == 1, "").when(kind == 2, "김민수").otherwise(F.col("name")),
+        "phone_number": F.when(kind == 3, "1588").when(kind == 4, F.replace("phone_number", F.lit("-"), F.lit("")))
+        .when(kind == 5, F.concat(F.lit("+82-"), F.substring("phone_number", 2, 20))).otherwise(F.col("phone_number")),
+        "email": F.when(kind == 0, "nomail").when(kind == 4, "a@b@c").otherwise(F.col("email")),
+    })
+    return quality.pii_masked(people)
 
 
 @query("phone_valid", """
@@ -203,7 +212,7 @@ def _(t):
 
 @query("apply_defaults", """
 SELECT user_id, push_notifications_enabled, COALESCE(CASE WHEN user_id%5<>0 THEN reservation_notifications END,TRUE) AS reservation_notifications,
-  marketing_notifications, TRUE AS event_notifications, TRUE AS location_tracking_enabled, 'ko' AS language_preference,
+  marketing_notifications, event_notifications, TRUE AS location_tracking_enabled, 'ko' AS language_preference,
   'KRW' AS currency_preference, 'light' AS theme_preference FROM user_settings""")
 def _(t):
     some = t["user_settings"].withColumn(

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.durable import shared_folder
+from ..operators.durable import cut_lineage, shared_folder
 from ..streaming import streams
 from .registry import AS_OF, query
 
 NOW = "TIMESTAMP '2001-07-15 12:00:00'"
 
 
-def _as_stream(t, df: DataFrame, name: str, moment: str) -> tuple[DataFrame, str]:
-    """``df`` written out as arriving files, and read back as a stream."""
+BATCHES = 3
+
+
+def _as_stream(t, df: DataFrame, name: str, moment: str, turn: Column, job) -> str:
+    """Run ``job(stream, folder)`` over ``df`` as files that arrive in BATCHES batches, by ``turn``."""
     folder = shared_folder(t.spark, name)
-    df.write.parquet(f"{folder}/in")
-    return streams.arriving(t.spark, f"{folder}/in", df.schema, moment), folder
+    dealt = cut_lineage(df.withColumn("turn", turn))
+    for batch in range(BATCHES):
+        dealt.filter(F.col("turn") == batch).drop("turn").write.mode("append").parquet(f"{folder}/in")
+        job(streams.arriving(t.spark, f"{folder}/in", df.schema, moment), folder).awaitTermination()
+    return folder
+
+
+def _shuffled(*columns: str) -> Column:
+    """Batches without regard to time, so that many rows come late."""
+    return F.pmod(F.crc32(F.concat_ws(":", *[F.col(c).cast("string") for c in columns])), F.lit(BATCHES))
 
 
 @query("stream_point_balances", f"""
@@ -29,9 +40,11 @@ def _(t):
     # Every seventh row is sent twice.
     sent = ledger.withColumn(
         "again", F.explode(F.when(F.crc32("id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).drop("again")
-    stream, folder = _as_stream(t, sent, "ledger", "created_at")
-    streams.point_balance_deltas(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    )
+    folder = _as_stream(
+        t, sent, "ledger", "created_at", _shuffled("id", "again"),
+        lambda stream, at: streams.point_balance_deltas(stream, f"{at}/out", f"{at}/state"),
+    )
     return streams.point_balances_at(t.spark, f"{folder}/out", AS_OF)
 
 
@@ -80,8 +93,11 @@ WITH steps AS (
 SELECT id AS reservation_id, seq, previous_status, new_status,
   NOT (previous_status='requested' AND new_status IN ('completed','no_show')) AS accepted, changed_at FROM steps""")
 def _(t):
-    stream, folder = _as_stream(t, _changes(t), "changes", "changed_at")
-    streams.status_log(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    # A booking's changes come one batch after the other; states are carried between them.
+    folder = _as_stream(
+        t, _changes(t), "changes", "changed_at", F.col("seq"),
+        lambda stream, at: streams.status_log(stream, f"{at}/out", f"{at}/state"),
+    )
     return t.spark.read.parquet(f"{folder}/out/log").drop("batch").withColumn(
         "changed_at", F.col("changed_at").cast("timestamp_ntz")
     )
@@ -98,9 +114,9 @@ def _(t):
         F.concat(F.lit("A"), F.col("id").cast("string")).alias("id"), F.col("id").alias("reservation_id"), "user_id",
         F.col("status").alias("action"), "created_at",
         F.explode(F.when(F.col("id") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"),
-    ).drop("again")
-    stream, folder = _as_stream(t, actions, "actions", "created_at")
-    streams.booking_notifications(
-        stream, t["user_settings"], f"{folder}/out", f"{folder}/state"
-    ).awaitTermination()
+    )
+    folder = _as_stream(
+        t, actions, "actions", "created_at", _shuffled("id", "again"),
+        lambda stream, at: streams.booking_notifications(stream, t["user_settings"], f"{at}/out", f"{at}/state"),
+    )
     return t.spark.read.parquet(f"{folder}/out").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))

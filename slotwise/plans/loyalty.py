@@ -171,15 +171,15 @@ def _(t):
 
 
 REWARDS = """
-  SELECT p.user_id AS referrer_id, p.related_user_id AS friend_id, SUBSTR(SPLIT_PART(u.email,'@',1),1,6) AS friend, p.amount, p.created_at
+  SELECT p.user_id AS referrer_id, p.related_user_id AS friend_id, SUBSTR(SPLIT_PART(u.email,'@',1),1,LEAST(6,LENGTH(SPLIT_PART(u.email,'@',1))//2)) AS friend, p.amount, p.created_at
   FROM point_transactions p LEFT JOIN users u ON u.id=p.related_user_id
   WHERE p.transaction_type IN ('earned_referral','influencer_bonus') AND CAST(p.created_at AS DATE) BETWEEN DATE '2001-01-01' AND DATE '2001-06-30'"""
 
 
 @query("referral_earnings", f"""
-WITH w AS ({REWARDS}) SELECT referrer_id, friend_id, friend, CAST(SUM(amount) AS BIGINT) AS points, COUNT(*) AS rewards, 1 AS friends
+WITH w AS ({REWARDS}) SELECT referrer_id, friend_id, friend, CAST(SUM(amount) AS BIGINT) AS points, COUNT(*) AS rewards, 1 AS friends, FALSE AS is_total
 FROM w GROUP BY 1,2,3
-UNION ALL SELECT referrer_id, NULL, NULL, CAST(SUM(amount) AS BIGINT), COUNT(*), COUNT(DISTINCT friend_id) FROM w GROUP BY 1""")
+UNION ALL SELECT referrer_id, NULL, NULL, CAST(SUM(amount) AS BIGINT), COUNT(*), COUNT(DISTINCT friend_id), TRUE FROM w GROUP BY 1""")
 def _(t):
     return referrals.referral_earnings(t, *YEAR)
 
@@ -201,7 +201,7 @@ SELECT id, {_DIGITS} AS code FROM (
 def _(t):
     # A third of the users are taken to have no code yet. Clashes are too rare to show here.
     people = t["users"].withColumn("referral_code", F.when(F.col("id") % 3 != 0, F.col("referral_code")))
-    return referrals.referral_codes(people)["assigned"]
+    return referrals.referral_codes(people)
 
 
 @query("profile_stats", f"""

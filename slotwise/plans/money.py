@@ -35,13 +35,14 @@ def _(t):
 
 def _setting_requests(t):
     """Every event asks for the setting of one part; some parts do not exist."""
+    parts = t["part"].agg((F.count(F.lit(1)) + 10).alias("n")).scalar()
     return t["events"].select(
         F.col("event_id").alias("request_id"),
-        F.concat(F.lit("part_"), (F.col("event_id") % 3000).cast("string")).alias("setting_key"),
+        F.concat(F.lit("part_"), (F.col("event_id") % parts).cast("string")).alias("setting_key"),
     )
 
 
-_REQUESTS = "requests AS (SELECT event_id AS request_id, CONCAT('part_',CAST(event_id%3000 AS STRING)) AS setting_key FROM events)"
+_REQUESTS = "requests AS (SELECT event_id AS request_id, CONCAT('part_',CAST(event_id%(SELECT COUNT(*)+10 FROM part) AS STRING)) AS setting_key FROM events)"
 
 
 @query("setting_text", f"""
@@ -73,7 +74,8 @@ def _(t):
 
 @query("shop_settlement", f"""
 WITH rates AS ({RATES}), june AS ({JUNE})
-SELECT shop_id, rate, gross_revenue, fee AS commission_amount, gross_revenue-fee AS net_settlement, booking_count FROM june""")
+SELECT q.shop_id, COALESCE(q.override_rate,q.type_rate) AS rate, COALESCE(gross_revenue,0) AS gross_revenue, COALESCE(fee,0) AS commission_amount,
+  COALESCE(gross_revenue-fee,0) AS net_settlement, COALESCE(booking_count,0) AS booking_count FROM rates q LEFT JOIN june j ON j.shop_id=q.shop_id""")
 def _(t):
     return settlement.shop_settlement(t, *PERIOD)
 
@@ -270,11 +272,11 @@ WITH rates AS ({RATES}),
 done AS (SELECT CAST(DATE_TRUNC('month',r.completed_at) AS DATE) AS m, r.shop_id, MIN(q.shop_type) AS shop_type, SUM(r.total_amount) AS gross,
   FLOOR(CAST(SUM(r.total_amount*CAST(COALESCE(q.override_rate,q.type_rate)*100 AS BIGINT)) AS DECIMAL(30,0))*0.0001) AS fee
   FROM reservations r JOIN rates q ON q.shop_id=r.shop_id WHERE r.status='completed' GROUP BY 1,2),
-back AS (SELECT CAST(DATE_TRUNC('month',r.cancelled_at) AS DATE) AS m, s.shop_type, SUM(p.refund_amount) AS refunds
+back AS (SELECT CAST(DATE_TRUNC('month',p.refunded_at) AS DATE) AS m, s.shop_type, SUM(p.refund_amount) AS refunds
   FROM payments p JOIN reservations r ON r.id=p.reservation_id JOIN shops s ON s.id=r.shop_id
-  WHERE p.refund_amount>0 AND r.cancelled_at IS NOT NULL GROUP BY 1,2),
+  WHERE p.refund_amount>0 GROUP BY 1,2),
 al AS (SELECT m, shop_type, gross, fee, 0 AS refunds FROM done UNION ALL SELECT m, shop_type, 0, 0, refunds FROM back)
 SELECT m AS month, shop_type, CAST(SUM(gross) AS BIGINT) AS gross, CAST(SUM(fee) AS BIGINT) AS commission, CAST(SUM(refunds) AS BIGINT) AS refunds,
-  CAST(SUM(gross-fee) AS BIGINT) AS payout_due FROM al GROUP BY ROLLUP (m, shop_type)""")
+  CAST(SUM(gross-fee) AS BIGINT) AS payout_due, CAST(GROUPING(m,shop_type) AS INT) AS level FROM al GROUP BY ROLLUP (m, shop_type)""")
 def _(t):
     return settlement.monthly_revenue(t)

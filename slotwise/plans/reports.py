@@ -110,9 +110,15 @@ def _(t):
     return analytics.feature_usage(t["app_events"])
 
 
-@query("feature_usage_approximate")
-def _(t):
-    return analytics.feature_usage(t["app_events"], approximate=True)
+@query("feature_usage_approximate", """
+SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS events, TRUE AS within_bound FROM app_events GROUP BY 1,2""")
+def _(t):
+    # The estimate is held against the exact count: five standard errors of the sketch.
+    exact = analytics.feature_usage(t["app_events"]).withColumnRenamed("users", "exact")
+    near = F.abs(F.col("users") - F.col("exact")) <= F.ceil(0.25 * F.col("exact"))
+    return analytics.feature_usage(t["app_events"], approximate=True).join(exact, ["day", "event_type", "events"]).select(
+        "day", "event_type", "events", near.alias("within_bound")
+    )
 
 
 @query("onboarding_success", """
@@ -173,18 +179,25 @@ x AS (SELECT c.claim_id, c.promotion_id, c.user_id, c.amount, CAST({_json('p.ben
   WHEN NOT json_valid(p.conditions) THEN 'unreadable conditions'
   WHEN c.amount<CAST({_json('p.conditions', 'min_amount')} AS BIGINT) THEN 'amount too small'
   WHEN c.category<>{_json('p.conditions', 'category')} THEN 'other category'
-  WHEN COALESCE(tot.n,0)>=p.usage_limit THEN 'used up' WHEN COALESCE(own.n,0)>=p.usage_limit_per_user THEN 'used up by user' END AS reason
+  END AS unfit, COALESCE(tot.n,0) AS used, COALESCE(own.n,0) AS own, p.usage_limit, p.usage_limit_per_user, c.claimed_at
   FROM promotion_claims c LEFT JOIN promotions p ON p.id=c.promotion_id LEFT JOIN tot ON tot.promotion_id=c.promotion_id
-  LEFT JOIN own ON own.promotion_id=c.promotion_id AND own.user_id=c.user_id)
+  LEFT JOIN own ON own.promotion_id=c.promotion_id AND own.user_id=c.user_id),
+y AS (SELECT *, own+COUNT(*) FILTER (unfit IS NULL) OVER (PARTITION BY promotion_id, user_id ORDER BY claimed_at, claim_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)>usage_limit_per_user AS over FROM x),
+z AS (SELECT *, CASE WHEN unfit IS NOT NULL THEN unfit WHEN over THEN 'used up by user'
+  WHEN used+COUNT(*) FILTER (unfit IS NULL AND NOT over) OVER (PARTITION BY promotion_id ORDER BY claimed_at, claim_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)>usage_limit THEN 'used up' END AS reason FROM y)
 SELECT claim_id, promotion_id, user_id, reason IS NULL AS eligible, reason,
-  CASE WHEN reason IS NULL THEN CAST(FLOOR(amount*rate/100.0) AS BIGINT) END AS discount FROM x""")
+  CASE WHEN reason IS NULL THEN CAST(FLOOR(amount*rate/100.0) AS BIGINT) END AS discount FROM z""")
 def _(t):
     return outreach.promotion_eligibility(t, t["promotion_claims"], AS_OF)
 
 
 @query("notification_targets", """
 SELECT n.id, n.user_id, n.notification_type, k.token, k.platform FROM notifications n JOIN push_tokens k ON k.user_id=n.user_id AND k.is_active
-JOIN user_settings s ON s.user_id=n.user_id AND s.push_notifications_enabled AND s.reservation_notifications""")
+JOIN user_settings s ON s.user_id=n.user_id AND s.push_notifications_enabled
+WHERE CASE WHEN n.notification_type IN ('reservation_confirmed','reservation_cancelled') THEN s.reservation_notifications
+  WHEN n.notification_type IN ('point_earned','referral_success') THEN s.event_notifications WHEN n.notification_type='promotion' THEN s.marketing_notifications ELSE TRUE END""")
 def _(t):
     return outreach.notification_targets(t)
 

@@ -45,6 +45,17 @@ def _whole(value: Column) -> Column:
     return F.floor(value).cast("long")
 
 
+def _booking_key(order: Column, shop: Column) -> Column:
+    """One number for an order and a shop: 36 bits and 27, which hold samples up to scale factor 10,000.
+    Larger orders overflow, which is an error and no silent collision."""
+    return order * 134217728 + shop
+
+
+def _service_key(shop: Column, part: Column) -> Column:
+    """One number for a shop and a part: 27 bits and 31."""
+    return shop * 2147483648 + part
+
+
 def _row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
@@ -84,6 +95,7 @@ def user_settings(t: Tables) -> DataFrame:
         k.alias("user_id"),
         (k % 6 != 0).alias("push_notifications_enabled"),
         (k % 4 != 0).alias("reservation_notifications"),
+        (k % 5 != 1).alias("event_notifications"),
         (k % 3 == 0).alias("marketing_notifications"),
     )
 
@@ -160,7 +172,7 @@ def shop_services(t: Tables) -> DataFrame:
     price = _whole(_c("p_retailprice"))
     offered = t["lineitem"].select("l_suppkey", "l_partkey").distinct()
     return offered.join(t["part"], _c("l_partkey") == _c("p_partkey")).select(
-        (_c("l_suppkey") * 1000000 + _c("l_partkey")).alias("id"),
+        _service_key(_c("l_suppkey"), _c("l_partkey")).alias("id"),
         _c("l_suppkey").alias("shop_id"),
         _c("p_name").alias("name"),
         part_category().alias("category"),
@@ -195,7 +207,7 @@ def reservations(t: Tables) -> DataFrame:
     )
     state, shipped = _c("o_orderstatus"), _c("shipped")
     return lines.join(t["orders"], order == _c("o_orderkey")).select(
-        (order * 100000 + shop).alias("id"),
+        _booking_key(order, shop).alias("id"),
         _c("o_custkey").alias("user_id"),
         shop.alias("shop_id"),
         shipped.cast("date").alias("reservation_date"),
@@ -218,8 +230,8 @@ def reservations(t: Tables) -> DataFrame:
 
 def reservation_services(t: Tables) -> DataFrame:
     return t["lineitem"].select(
-        (_c("l_orderkey") * 100000 + _c("l_suppkey")).alias("reservation_id"),
-        (_c("l_suppkey") * 1000000 + _c("l_partkey")).alias("service_id"),
+        _booking_key(_c("l_orderkey"), _c("l_suppkey")).alias("reservation_id"),
+        _service_key(_c("l_suppkey"), _c("l_partkey")).alias("service_id"),
         _c("l_quantity").cast("int").alias("quantity"),
         (5 * _whole(_c("l_extendedprice"))).alias("total_price"),
     )
@@ -235,6 +247,7 @@ def payments(t: Tables) -> DataFrame:
         F.when(status == "cancelled_by_shop", "refunded").otherwise("deposit_paid").alias("payment_status"),
         deposit.alias("amount"),
         _c("r.created_at").alias("paid_at"),
+        F.lit(False).alias("goodwill"),
     )
     second = F.struct(
         _text("B", key).alias("id"),
@@ -242,19 +255,25 @@ def payments(t: Tables) -> DataFrame:
         F.when(settled, "fully_paid").otherwise("pending").alias("payment_status"),
         (total - deposit).alias("amount"),
         F.when(settled, _c("r.completed_at")).alias("paid_at"),
+        (settled & (key % 17 == 0)).alias("goodwill"),  # a small part given back long after the visit
     )
     parts = F.when(status == "completed", F.array(first, second)).otherwise(F.array(first))
     return (
         t["reservations"].alias("r")
         .filter(status != "requested")
-        .select(key.alias("reservation_id"), _c("r.user_id"), F.explode(parts).alias("p"))
+        .select(
+            key.alias("reservation_id"), _c("r.user_id"), _c("r.cancelled_at"), _c("r.created_at"), F.explode(parts).alias("p")
+        )
         .select(
             _c("p.id"), "reservation_id", "user_id", _c("p.is_deposit"), _c("p.payment_status"),
             _pick(_c("reservation_id") % 5, "card", "kakao_pay", "naver_pay", "toss_payments", "bank_transfer").alias(
                 "payment_method"
             ),
             _c("p.amount"), _c("p.paid_at"),
-            F.when(_c("p.payment_status") == "refunded", _c("p.amount")).otherwise(F.lit(0)).alias("refund_amount"),
+            F.when(_c("p.payment_status") == "refunded", _c("p.amount")).when(_c("p.goodwill"), 1000)
+            .otherwise(F.lit(0)).cast("long").alias("refund_amount"),
+            F.when(_c("p.payment_status") == "refunded", plus_days(F.coalesce(_c("cancelled_at"), _c("created_at")), F.lit(1)))
+            .when(_c("p.goodwill"), plus_days(_c("p.paid_at"), F.lit(40))).alias("refunded_at"),
         )
     )
 
@@ -428,15 +447,20 @@ def promotion_claims(t: Tables) -> DataFrame:
         _c("o_custkey").alias("user_id"),
         _whole(_c("l_extendedprice")).alias("amount"),
         _pick(_c("l_suppkey") % 4, "nail", "eyelash", "waxing", "eyebrow_tattoo").alias("category"),
+        _c("l_shipdate").alias("claimed_at"),
     )
 
 
 def notifications(t: Tables) -> DataFrame:
-    confirmed = _c("status") == "confirmed"
-    return t["reservations"].filter(confirmed | (_c("status") == "cancelled_by_shop")).select(
+    kind = (
+        F.when(_c("status") == "confirmed", "reservation_confirmed")
+        .when(_c("status") == "cancelled_by_shop", "reservation_cancelled")
+        .when(_c("status") == "completed", _pick(_c("id") % 4, "point_earned", "referral_success", "system", None))
+    )
+    return t["reservations"].withColumn("kind", kind).filter(_c("kind").isNotNull()).select(
         _text("N", _c("id")).alias("id"),
         "user_id",
-        F.when(confirmed, "reservation_confirmed").otherwise("reservation_cancelled").alias("notification_type"),
+        _c("kind").alias("notification_type"),
         _pick(_c("id") % 3, "unread", "read", "deleted").alias("status"),
         _c("id").alias("related_id"),
         "created_at",
@@ -472,7 +496,7 @@ def content_reports(t: Tables) -> DataFrame:
         k.alias("id"),
         (k % _row_count(t["customer"])).alias("reporter_id"),
         F.lit("post").alias("reported_content_type"),
-        (k % 37).alias("reported_content_id"),
+        (k - k % 7).alias("reported_content_id"),
         F.when(_c("toxic") == 1, "harassment")
         .when(_c("quality") == 0, "spam")
         .when(k % 5 == 0, "copyright")

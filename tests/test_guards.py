@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.functions.masking import is_mobile, mask_id
+from slotwise.functions.masking import is_mobile, mask_email, mask_id, mask_name, mask_phone
 from slotwise.operators import analytics, changes, outreach, quality, views, visibility
 from slotwise.sources import model, seeds
 from tests.conftest import rows
@@ -120,7 +120,19 @@ def test_enum_and_key_violations(spark, tables):
 def test_masks(spark):
     df = spark.createDataFrame([("dbgusgh123", "010-1234-5678"), ("ab", "01012345678"), ("x", None)], "id STRING, phone STRING")
     got = df.select(mask_id(F.col("id")), is_mobile(F.col("phone"))).collect()
-    assert [tuple(r) for r in got] == [("dbgusg", True), ("ab", False), ("x", False)]
+    assert [tuple(r) for r in got] == [("dbgus", True), ("a", False), ("", False)]
+
+
+def test_masks_never_show_a_value_whole(spark):
+    names = ["김", "Lee", "김민수", "a", "", "Maximilian"]
+    phones = ["01012345678", "+82-10-1234-5678", "010-1234-5678", "1588-0000", "12", ""]
+    mails = ["nomail", "a@b.c", "ab@c.de", "@x", "a@b@c", "user@example.com"]
+    df = spark.createDataFrame(list(zip(names, phones, mails)), "name STRING, phone STRING, mail STRING")
+    got = df.select(mask_name(F.col("name")), mask_phone(F.col("phone")), mask_email(F.col("mail"))).collect()
+    for plain, masked in zip(zip(names, phones, mails), got, strict=True):
+        assert all(value == "" or value not in hidden for value, hidden in zip(plain, masked, strict=True))
+    assert [r[1] for r in got] == ["***-****-**78", "***-****-**78", "***-****-**78", "***-****-**00", "***", "***"]
+    assert [r[2] for r in got] == ["***", "***", "a***@c.de", "***", "***", "u***@example.com"]
 
 
 def test_promotion_reasons(spark, tables):
@@ -138,7 +150,7 @@ def test_promotion_reasons(spark, tables):
         [("a", 1, 7, 100, "nail"), ("b", 1, 7, 99, "nail"), ("c", 1, 7, 100, "hair"), ("d", 2, 7, 1, "nail"), ("e", 3, 7, 1, "nail"),
          ("f", 4, 9, 1, "nail"), ("g", 5, 7, 1, "nail"), ("h", 5, 8, 1, "nail"), ("i", 6, 8, 1, "nail")],
         "claim_id STRING, promotion_id LONG, user_id LONG, amount LONG, category STRING",
-    )
+    ).withColumn("claimed_at", F.lit(now))
     got = {r.claim_id: r.reason for r in outreach.promotion_eligibility(t, claims, NOW).collect()}
     assert got == {
         "a": None, "b": "amount too small", "c": "other category", "d": "unreadable conditions", "e": "not live",
@@ -146,6 +158,34 @@ def test_promotion_reasons(spark, tables):
     }
 
 
+def test_claims_count_against_each_other(spark, tables):
+    now, day = NOW, dt.timedelta(days=1)
+    t = tables(
+        promotions=([(1, None, '{"discount_rate":10}', now - day, now + day, 4, 2, True)],
+                    "id LONG, conditions STRING, benefits STRING, starts_at TIMESTAMP_NTZ, ends_at TIMESTAMP_NTZ, usage_limit LONG, usage_limit_per_user LONG, is_active BOOLEAN"),
+        promotion_usages=([(1, 7)], "promotion_id LONG, user_id LONG"),
+    )
+    # One use is gone: three are left, one of them to user 7.
+    claims = spark.createDataFrame(
+        [("a", 1, 7, 5, "x", now - day), ("b", 1, 7, 5, "x", now - day), ("c", 1, 8, 5, "x", now), ("d", 1, 9, 5, "x", now), ("e", 1, 8, 5, "x", now),
+         ("f", None, 8, 5, "x", now)],
+        "claim_id STRING, promotion_id LONG, user_id LONG, amount LONG, category STRING, claimed_at TIMESTAMP_NTZ",
+    )
+    got = {r.claim_id: r.reason for r in outreach.promotion_eligibility(t, claims, NOW).collect()}
+    assert got == {"a": None, "b": "used up by user", "c": None, "d": None, "e": "used up", "f": "unknown"}
+
+
+def test_each_kind_of_notice_has_its_switch(spark, tables):
+    t = tables(
+        user_settings=([(1, True, True, False, False), (2, True, False, True, True), (3, False, True, True, True)],
+                       "user_id LONG, push_notifications_enabled BOOLEAN, reservation_notifications BOOLEAN, event_notifications BOOLEAN, marketing_notifications BOOLEAN"),
+        push_tokens=([(1, "t1", "ios", True), (2, "t2", "ios", True), (3, "t3", "ios", True)], "user_id LONG, token STRING, platform STRING, is_active BOOLEAN"),
+        notifications=([(f"{u}{k[:3]}", u, k) for u in (1, 2, 3) for k in ("reservation_confirmed", "point_earned", "promotion", "system")],
+                       "id STRING, user_id LONG, notification_type STRING"),
+    )
+    assert [r[0] for r in rows(outreach.notification_targets(t).select("id"))] == ["1res", "1sys", "2poi", "2pro", "2sys"]
+
+
 def test_quiet_hours_over_midnight(spark, tables):
     t = tables(
         shops=([(1, 70), (2, 71)], "id LONG, owner_id LONG"),

@@ -122,9 +122,8 @@ def brute_force(requests, funds):
     return result
 
 
-@pytest.mark.parametrize("limit", [0, 5, 1000])
-def test_redemption_is_sequential(spark, limit):
-    """The fold and the rounds give what deciding one by one gives."""
+def test_redemption_is_sequential(spark):
+    """The rounds give what deciding one by one gives."""
     rng = random.Random(11)
     funds = {u: rng.choice([0, 1, 7, 100, 5000]) for u in range(12)}
     requests = []
@@ -135,7 +134,7 @@ def test_redemption_is_sequential(spark, limit):
     funds[0] = 5000
     asked = spark.createDataFrame(requests, "request_id INT, user_id INT, requested_at TIMESTAMP_NTZ, amount LONG")
     held = spark.createDataFrame(list(funds.items()), "user_id INT, available_points LONG")
-    got = {r.request_id: r.accepted for r in points.point_redemption(asked, held, fold_limit=limit).collect()}
+    got = {r.request_id: r.accepted for r in points.point_redemption(asked, held).collect()}
     assert got == brute_force(requests, funds)
 
 
@@ -146,6 +145,5 @@ def test_rejected_request_costs_nothing(spark):
         "request_id INT, user_id INT, requested_at TIMESTAMP_NTZ, amount LONG",
     )
     held = spark.createDataFrame([(1, 100)], "user_id INT, available_points LONG")
-    for limit in (0, 10):
-        got = points.point_redemption(asked, held, fold_limit=limit)
-        assert rows(got.select("request_id", "accepted")) == [(1, True), (2, False), (3, True)]
+    got = points.point_redemption(asked, held)
+    assert rows(got.select("request_id", "accepted")) == [(1, True), (2, False), (3, True)]

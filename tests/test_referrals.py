@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from slotwise.operators import referrals
 from tests.conftest import rows
 
@@ -34,17 +36,16 @@ def test_codes_are_unique_even_when_short(spark):
     people = spark.createDataFrame(
         [(i, "ABCDEF"[i] if i < 6 else None) for i in range(31)], "id LONG, referral_code STRING"
     )
-    got = referrals.referral_codes(people, rounds=6, length=1)
-    codes = [r.code for r in got["assigned"].collect()]
-    assert len(codes) == len(set(codes)) and not set(codes) & set("ABCDEF")
-    assert len(codes) + got["unassigned"].count() == 25
-    again = referrals.referral_codes(people, rounds=6, length=1)["assigned"]
-    assert rows(again) == rows(got["assigned"])
+    got = referrals.referral_codes(people, length=1)
+    codes = [r.code for r in got.collect()]
+    assert len(codes) == len(set(codes)) == 25 and not set(codes) & set("ABCDEF")
+    assert rows(referrals.referral_codes(people, length=1)) == rows(got)
+    with pytest.raises(ValueError, match="codes"):
+        referrals.referral_codes(people.unionByName(spark.range(100, 110).selectExpr("id", "CAST(NULL AS STRING) AS referral_code")), length=1)
 
 
 def test_long_codes_are_all_assigned(spark):
     people = spark.range(5000).selectExpr("id", "CAST(NULL AS STRING) AS referral_code")
     got = referrals.referral_codes(people)
-    assert got["assigned"].select("code").distinct().count() == 5000
-    assert got["unassigned"].isEmpty()
-    assert got["assigned"].filter("NOT code RLIKE '^[A-Z0-9]{8}$'").isEmpty()
+    assert got.select("code").distinct().count() == got.count() == 5000
+    assert got.filter("NOT code RLIKE '^[A-Z0-9]{8}$'").isEmpty()

@@ -44,7 +44,7 @@ def test_missing_rate_setting_falls_back_to_ten(spark, tables):
 def test_commission_is_rounded_once_on_the_sum(spark, tables):
     # 7.25 % of 109 is 7.9025 and of 436 is 31.61: rounding row by row gives 28, on the sum 31.
     t = shop_tables(spark, tables, [done(i, 3, 109) for i in range(4)])
-    got = settlement.shop_settlement(t, dt.date(2001, 6, 1), dt.date(2001, 6, 30)).first()
+    got = settlement.shop_settlement(t, dt.date(2001, 6, 1), dt.date(2001, 6, 30)).filter("shop_id = 3").first()
     assert (got.gross_revenue, got.commission_amount, got.net_settlement, got.booking_count) == (436, 31, 405, 4)
     t2 = t.replaced(payments=spark.createDataFrame([], "reservation_id LONG, payment_method STRING, is_deposit BOOLEAN"))
     per_row = settlement.settlement_details(t2, dt.date(2001, 6, 1), dt.date(2001, 6, 30))
@@ -53,7 +53,7 @@ def test_commission_is_rounded_once_on_the_sum(spark, tables):
 
 def test_large_sums_do_not_overflow(spark, tables):
     t = shop_tables(spark, tables, [done(i, 1, 2_000_000_000_000) for i in range(50)])
-    got = settlement.shop_settlement(t, dt.date(2001, 6, 1), dt.date(2001, 6, 30)).first()
+    got = settlement.shop_settlement(t, dt.date(2001, 6, 1), dt.date(2001, 6, 30)).filter("shop_id = 1").first()
     assert got.gross_revenue == 100_000_000_000_000 and got.commission_amount == 8_000_000_000_000
 
 
@@ -64,10 +64,10 @@ def test_period_days_are_inclusive_and_zoned(spark, tables):
     ]
     t = shop_tables(spark, tables, edge)
     june = (dt.date(2001, 6, 1), dt.date(2001, 6, 30))
-    assert settlement.shop_settlement(t, *june).first().gross_revenue == 3
+    assert settlement.shop_settlement(t, *june).filter("booking_count > 0").first().gross_revenue == 3
     zoned = t.replaced(reservations=t["reservations"].withColumn("completed_at", F.col("completed_at").cast("timestamp")))
     # 31 May 15:00 UTC is 1 June in Seoul, 30 June 23:59 UTC is 1 July there.
-    assert settlement.shop_settlement(zoned, *june, zone="Asia/Seoul").first().gross_revenue == 1 + 8
+    assert settlement.shop_settlement(zoned, *june, zone="Asia/Seoul").filter("booking_count > 0").first().gross_revenue == 1 + 8
 
 
 def test_batch_takes_active_shops_with_bookings(spark, tables):
@@ -162,3 +162,12 @@ def test_completion_needs_a_requested_transfer(spark, tables):
     assert rows(got["transfers"].select("settlement_id", "transfer_amount", "transfer_fee")) == [("q", 450, 500)]
     assert got["logs"].first().notes == "송금 완료: e1 (수수료: 500원)"
     assert got["settlements"].first().settled_at == NOW
+
+
+def test_shops_without_bookings_have_a_row_and_no_settlement(spark, tables):
+    t = shop_tables(spark, tables, [done(1, 3, 100)])
+    june = (dt.date(2001, 6, 1), dt.date(2001, 6, 30))
+    got = settlement.shop_settlement(t, *june)
+    assert got.count() == t["shops"].count()
+    assert got.filter("shop_id <> 3 AND (booking_count <> 0 OR gross_revenue <> 0)").isEmpty()
+    assert [r.shop_id for r in settlement.settlement_batch(t, "monthly", *june)["settlements"].collect()] == [3]

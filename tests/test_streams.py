@@ -37,14 +37,21 @@ def test_balances_equal_the_batch_job(spark, tmp_path):
     assert rows(streams.point_balances_at(spark, f"{tmp_path}/out", NOW)) == [(1, 150, 70), (2, 0, 0), (3, 5, 0)]
 
 
-def test_event_counts_grow_and_late_rows_are_dropped(spark, tmp_path):
+def test_ledger_rows_months_late_count_once(spark, tmp_path):
+    when = [dt.datetime(2001, 3, 1), dt.datetime(2001, 5, 1), dt.datetime(2001, 3, 15)]
+    batches = [[(name, 1, 100, "available", None, None, at)] for name, at in zip("abc", when)] + [[("a", 1, 100, "available", None, None, when[0])]]
+    run(spark, tmp_path, batches, LEDGER, "created_at", lambda s: streams.point_balance_deltas(s, f"{tmp_path}/out", f"{tmp_path}/state"))
+    assert rows(streams.point_balances_at(spark, f"{tmp_path}/out", NOW)) == [(1, 300, 300)]
+
+
+def test_event_counts_grow_and_late_rows_count(spark, tmp_path):
     at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
     schema = "ts TIMESTAMP_NTZ, event_type STRING, value DOUBLE"
     batches = [[(at(1), "a", 1.0), (at(1, 30), "a", 1.0)], [(at(1, 59), "a", 1.0), (at(9), "b", 2.0)], [(at(9, 1), "b", 1.0)],
                [(at(1, 5), "a", 9.0)]]
     run(spark, tmp_path, batches, schema, "ts", lambda s: streams.event_counts(s, f"{tmp_path}/out", f"{tmp_path}/state"))
     got = streams.event_counts_now(spark, f"{tmp_path}/out").select(F.hour("hour"), "event_type", "events", "value")
-    assert rows(got) == [(1, "a", 3, 3.0), (9, "b", 2, 3.0)]
+    assert rows(got) == [(1, "a", 4, 12.0), (9, "b", 2, 3.0)]
 
 
 def test_status_changes_across_batches(spark, tmp_path):
@@ -64,7 +71,8 @@ def test_status_changes_across_batches(spark, tmp_path):
         (3, 0, "", "requested", True), (3, 1, "requested", "confirmed", True), (3, 2, "confirmed", "no_show", True),
         (3, 3, "", "completed", False),
     ]
-    # No entry is left for finished bookings.
+    # Older tables of open bookings are gone, and no entry is left for finished ones.
+    assert sorted(p.name for p in (tmp_path / "out" / "open").iterdir() if p.is_dir()) == ["batch=1", "batch=2"]
     assert spark.read.parquet(f"{tmp_path}/out/open/batch=2").isEmpty()
 
 
