@@ -27,4 +27,5 @@ def row_cell(lat: Column, level: int) -> Column:
 
 
 def column_cell(lon: Column, level: int) -> Column:
-    return F.floor((lon + 180.0) / cell_degrees(level)).cast("int")
+    """The meridian at 180 degrees is that at -180."""
+    return F.pmod(F.floor((lon + 180.0) / cell_degrees(level)).cast("int"), F.lit(1 << level))

@@ -12,29 +12,21 @@ from .spread import dense_ranks
 # Fixed value: shops per page.
 PAGE_SIZE = 30
 
-# Cells of the finest level are about 150 m high; levels 0 and 2..FINEST are used.
-FINEST = 18
-COARSEST = 2
-REACH_ROWS = 3
-
-
-def _cells(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level).cast("int")
-
-
-def _edge(level: Column) -> Column:
-    return F.lit(360.0) / _cells(level)
-
+# Users are grouped by cells about 40 m high. Shops are found through nested cells, each level
+# cutting a cell of the one before into eight by eight; those of the last are about 2 m high.
+HOME_LEVEL = 20
+STEP = 3
+LEVELS = tuple(range(STEP, 25, STEP))
 
 
 def nearby_shops(users: DataFrame, shops: DataFrame, k: int = PAGE_SIZE) -> DataFrame:
     """The ``k`` nearest active shops of each user, exact for any distribution of shops.
 
-    No user meets all shops. Shops are counted in nested square cells. For each cell that holds
-    users, the smallest level is found whose 3 x 3 block of cells holds ``k`` shops; the ``k``-th
-    nearest can then be no farther than the far corner of the block, so only shops in cells that
-    reach into that circle are compared. Of shops at the very same point only the first ``k`` can
-    count, so a crowded point stays small too. Ties go to the smaller key.
+    No user meets all shops. Shops are counted in nested cells, and each cell that holds users walks
+    down: a level's cells are taken nearest first until they hold ``k`` shops for certain, and only
+    cells that may be as near are cut further. What is left at the last level is a few times ``k``,
+    be the users far from all shops or next to a dense core. Of shops at the very same point only
+    the first ``k`` can count. Ties go to the smaller key.
     """
     position = F.row_number().over(Window.partitionBy("latitude", "longitude").orderBy("id"))
     places = (
@@ -43,13 +35,13 @@ def nearby_shops(users: DataFrame, shops: DataFrame, k: int = PAGE_SIZE) -> Data
         .withColumn("n", position).filter(F.col("n") <= k)
         .select(
             F.col("id").alias("shop_id"), F.col("latitude").alias("shop_lat"), F.col("longitude").alias("shop_lon"),
-            row_cell(F.col("latitude"), FINEST).alias("shop_row"), column_cell(F.col("longitude"), FINEST).alias("shop_col"),
+            row_cell(F.col("latitude"), LEVELS[-1]).alias("shop_row"), column_cell(F.col("longitude"), LEVELS[-1]).alias("shop_col"),
         )
     )
     people = users.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         F.col("id").alias("user_id"),
         F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"),
-    ).withColumns({"row": row_cell(F.col("latitude"), FINEST), "col": column_cell(F.col("longitude"), FINEST)})
+    ).withColumns({"row": row_cell(F.col("latitude"), HOME_LEVEL), "col": column_cell(F.col("longitude"), HOME_LEVEL)})
     home = people.select("row", "col").distinct()
     nearby = _candidates(home, places, k)
     distance = F.round(
@@ -62,90 +54,48 @@ def nearby_shops(users: DataFrame, shops: DataFrame, k: int = PAGE_SIZE) -> Data
 
 def _candidates(home: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """Shops that can be among the ``k`` nearest of somebody in a cell, for each ``home`` cell."""
-    levels = F.sequence(F.lit(COARSEST), F.lit(FINEST))
-
-    def lift(row: str, col: str) -> tuple[Column, Column]:
-        shift = f"{FINEST} - level"
-        return F.expr(f"shiftright({row}, {shift})").alias("r"), F.expr(f"shiftright({col}, {shift})").alias("c")
-
-    counts = (
-        places.groupBy("shop_row", "shop_col").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("level", F.explode(levels))
-        .groupBy("level", *lift("shop_row", "shop_col"))
-        .agg(F.sum("n").alias("n"))
-    )
-    blocks = home.withColumn("level", F.explode(levels)).select("row", "col", "level", *lift("row", "col"))
-    step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    around = (
-        blocks.select("level", "r", "c").distinct()
-        .withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step))
-        .select(
-            "level", F.col("r").alias("br"), F.col("c").alias("bc"), (F.col("r") + F.col("dr")).alias("r"),
-            F.pmod(F.col("c") + F.col("dc"), _cells(F.col("level"))).alias("c"),
-        )
-    )
-    enough = (
-        around.join(counts, ["level", "r", "c"])
-        .groupBy("level", F.col("br").alias("r"), F.col("bc").alias("c"))
-        .agg(F.sum("n").alias("held"))
-        .filter(F.col("held") >= k)
-        .select("level", "r", "c")
-    )
-    chosen = (
-        blocks.join(enough, ["level", "r", "c"])
-        .groupBy("row", "col").agg(F.max("level").alias("level"))
-    )
-    # Without any full block (fewer than k shops around) every shop is compared: level 0.
-    chosen = home.join(chosen, ["row", "col"], "left").select(
-        "row", "col", F.coalesce("level", F.lit(0)).alias("level")
-    ).select("row", "col", "level", *lift("row", "col"))
-
-    edge = _edge(F.col("level"))
-    # Farthest corner of the block in degrees of arc, with room for distances rounded to a metre.
-    reach = F.least(2 * math.sqrt(2) * edge + 0.002 / KM_PER_DEGREE, F.lit(90.0))
-    top = F.greatest(F.abs(F.col("r") * edge - 90.0), F.abs((F.col("r") + 1) * edge - 90.0))
-    # A meridian d degrees away is at least asin(cos(lat) sin(d)) away.
-    ratio = F.sin(F.radians(reach)) / F.greatest(F.cos(F.radians(F.least(top, F.lit(90.0)))), F.lit(1e-9))
-    spread = F.degrees(F.asin(F.least(ratio, F.lit(1.0))))
-    reach_cols = F.when(ratio >= 1.0, _cells(F.col("level"))).otherwise(F.floor(spread / edge) + 1).cast("int")
-    wide = 2 * reach_cols + 1 >= _cells(F.col("level"))
-    cols = F.when(wide, F.sequence(F.lit(0), _cells(F.col("level")) - 1)).otherwise(
-        F.transform(
-            F.sequence(F.col("c") - reach_cols, F.col("c") + reach_cols),
-            lambda x: F.pmod(x, _cells(F.col("level"))),
-        )
-    )
-    rows = F.sequence(F.greatest(F.col("r") - REACH_ROWS, F.lit(0)), F.col("r") + REACH_ROWS)
-    wanted = (
-        chosen.withColumn("cols", cols)
-        .select("row", "col", "level", F.explode(rows).alias("r"), "cols")
-        .select("row", "col", "level", "r", F.explode("cols").alias("c"))
+    kept: DataFrame | None = None
+    for level in LEVELS:
+        shift = LEVELS[-1] - level
+        counts = places.groupBy(
+            F.shiftright("shop_row", shift).alias("r"), F.shiftright("shop_col", shift).alias("c")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        if kept is None:
+            # The first level has a fixed number of cells, the pole's own row included.
+            cells = F.sequence(F.lit(0), F.lit((2 ** (level - 1) + 1) * 2**level - 1))
+            around = home.withColumn("cell", F.explode(cells)).select(
+                "row", "col", F.floor(F.col("cell") / 2**level).cast("int").alias("r"), (F.col("cell") % 2**level).cast("int").alias("c")
+            ).join(counts, ["r", "c"])
+        else:
+            inside = counts.withColumns({"pr": F.shiftright("r", STEP), "pc": F.shiftright("c", STEP)})
+            around = kept.join(inside, ["pr", "pc"])
+        kept = _may_hold_nearest(around.select("row", "col", "r", "c", "n"), level, k)
+        kept = kept.select("row", "col", F.col("r").alias("pr"), F.col("c").alias("pc"))
+    return kept.join(places, (F.col("pr") == F.col("shop_row")) & (F.col("pc") == F.col("shop_col"))).select(
+        "row", "col", "shop_id", "shop_lat", "shop_lon"
     )
-    stocked = places.withColumn(
-        "level", F.explode(F.concat(F.array(F.lit(0)), levels))
-    ).select("shop_id", "shop_lat", "shop_lon", "level", *lift("shop_row", "shop_col"))
-    reached = wanted.join(stocked, ["level", "r", "c"]).select("row", "col", "shop_id", "shop_lat", "shop_lon")
-    return _tightened(reached, k)
 
 
-def _tightened(reached: DataFrame, k: int) -> DataFrame:
-    """Drop shops that cannot be among the ``k`` nearest of anybody in the cell.
+def _may_hold_nearest(cells: DataFrame, level: int, k: int) -> DataFrame:
+    """The cells around each home cell that may hold one of the ``k`` nearest shops of somebody in it.
 
-    Seen from the middle of the cell, somebody in it is off by at most half a diagonal, so the
-    ``k``-th distance from the middle plus a whole diagonal bounds every useful distance.
+    Two points of two cells are apart by the distance of the middles, give or take half a diagonal
+    of each; a degree of longitude is never longer than one of latitude. Cells hold ``k`` shops for
+    certain within the distance at which the counts of those that end before it reach ``k``.
     """
-    fine = 360.0 / (1 << FINEST)
-    diagonal = math.sqrt(2) * fine * KM_PER_DEGREE
+    edge, home_edge = 360.0 / (1 << level), 360.0 / (1 << HOME_LEVEL)
     middle = distance_km(
-        (F.col("row") + 0.5) * fine - 90.0, (F.col("col") + 0.5) * fine - 180.0, F.col("shop_lat"), F.col("shop_lon")
+        (F.col("row") + 0.5) * home_edge - 90.0, (F.col("col") + 0.5) * home_edge - 180.0,
+        (F.col("r") + 0.5) * edge - 90.0, (F.col("c") + 0.5) * edge - 180.0,
     )
-    cell = Window.partitionBy("row", "col")
+    slack = (edge + home_edge) * math.sqrt(0.5) * KM_PER_DEGREE
+    per_home = Window.partitionBy("row", "col")
+    held = F.sum("n").over(per_home.orderBy("middle", "r", "c").rowsBetween(Window.unboundedPreceding, 0))
     return (
-        reached.withColumn("from_middle", middle)
-        .withColumn("n", F.row_number().over(cell.orderBy("from_middle")))
-        .withColumn("kth", F.max(F.when(F.col("n") <= k, F.col("from_middle"))).over(cell))
-        .filter(F.col("from_middle") <= F.col("kth") + diagonal + 0.002)
-        .select("row", "col", "shop_id", "shop_lat", "shop_lon")
+        cells.withColumn("middle", middle).withColumn("held", held)
+        .withColumn("certain", F.min(F.when(F.col("held") >= k, F.col("middle"))).over(per_home))
+        # Distances are rounded to a metre before they are compared.
+        .filter(F.col("certain").isNull() | (F.col("middle") <= F.col("certain") + 2 * slack + 0.002))
     )
 
 

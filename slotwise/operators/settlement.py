@@ -145,6 +145,42 @@ def settlement_periods(schedules: DataFrame, as_of: Column) -> DataFrame:
     return schedules.filter("is_active").withColumn("period_start", start).withColumn("period_end", end)
 
 
+def scheduled_settlements(tables, periods: DataFrame, minimum_amount: int | None = None) -> DataFrame:
+    """The settlements of all due periods at once, one row per period and active shop with bookings.
+
+    Periods: settlement_period, period_start, period_end, and optionally target_shop_type (NULL for
+    all). Bookings are summed per shop and day before they meet the periods that their day is in, so
+    overlapping periods cost rows of days and not of bookings. With ``minimum_amount``, smaller
+    payouts are left for a later period.
+    """
+    wanted = periods if "target_shop_type" in periods.columns else periods.withColumn(
+        "target_shop_type", F.lit(None).cast("string")
+    )
+    days = wanted.select("settlement_period", "period_start", "period_end", "target_shop_type").distinct().withColumn(
+        "day", F.explode(F.sequence("period_start", "period_end"))
+    )
+    per_day = (
+        tables["reservations"].filter(F.col("status") == "completed")
+        .groupBy("shop_id", local_date(F.col("completed_at")).alias("day"))
+        .agg(F.sum("total_amount").alias("gross"), F.count(F.lit(1)).alias("n"))
+    )
+    active = tables["shops"].filter(F.col("shop_status") == "active").select(F.col("id").alias("shop_id"))
+    rates = commission_rates(tables).join(active, "shop_id", "left_semi")
+    sums = (
+        per_day.join(days, "day").groupBy("settlement_period", "period_start", "period_end", "target_shop_type", "shop_id")
+        .agg(F.sum("gross").alias("gross_revenue"), F.sum("n").alias("completed_bookings"))
+    )
+    fee = floor_percent_of(F.col("gross_revenue"), F.col("rate"))
+    settled = sums.join(rates, "shop_id").filter(
+        F.col("target_shop_type").isNull() | (F.col("target_shop_type") == F.col("shop_type"))
+    ).select(
+        "settlement_period", F.col("period_start").alias("period_start_date"), F.col("period_end").alias("period_end_date"),
+        "shop_id", "completed_bookings", "gross_revenue", F.col("rate").alias("commission_rate"),
+        fee.alias("commission_amount"), (F.col("gross_revenue") - fee).alias("net_settlement_amount"),
+    )
+    return settled if minimum_amount is None else settled.filter(F.col("net_settlement_amount") >= minimum_amount)
+
+
 def settlement_details(tables, first: dt.date, last: dt.date, zone: str | None = None) -> DataFrame:
     """One row per settled booking. Commission is rounded down per row, so its sum may be below
     the commission of the settlement."""

@@ -108,7 +108,7 @@ def _(t):
     return settlement.batch_totals(t["shop_settlements"], "period_start_date")
 
 
-@query("settlement_periods", """
+PERIODS = """
 WITH days AS (SELECT DISTINCT reservation_date AS run_date FROM reservations),
 schedules AS (SELECT * FROM (VALUES ('weekly'),('bi_weekly'),('monthly')) AS v(settlement_period))
 SELECT run_date, settlement_period,
@@ -118,9 +118,16 @@ SELECT run_date, settlement_period,
   CASE settlement_period WHEN 'weekly' THEN CAST(DATE_TRUNC('week',run_date-INTERVAL '7' DAY)+INTERVAL '6' DAY AS DATE)
     WHEN 'bi_weekly' THEN CAST(DATE_TRUNC('week',run_date-INTERVAL '14' DAY)+INTERVAL '13' DAY AS DATE)
     ELSE CAST(DATE_TRUNC('month',run_date)-INTERVAL '1' DAY AS DATE) END AS period_end
-FROM days CROSS JOIN schedules""")
+FROM days CROSS JOIN schedules"""
+
+
+@query("settlement_periods", PERIODS)
 def _(t):
-    # Each booked day asks which periods a run on that day would settle.
+    return _due_periods(t)
+
+
+def _due_periods(t):
+    """Each booked day asks which periods a run on that day would settle."""
     kinds = F.array(*[F.lit(p) for p in ("weekly", "bi_weekly", "monthly")])
     runs = t["reservations"].select(F.col("reservation_date").alias("run_date")).distinct().select(
         "run_date", F.explode(kinds).alias("settlement_period"), F.lit(True).alias("is_active")
@@ -128,6 +135,20 @@ def _(t):
     return settlement.settlement_periods(runs, F.col("run_date")).drop("is_active")
 
 
+@query("scheduled_settlements", f"""
+WITH rates AS ({RATES}), periods AS (SELECT DISTINCT settlement_period, period_start, period_end FROM ({PERIODS}) due),
+sums AS (SELECT settlement_period, period_start, period_end, r.shop_id, COUNT(*) AS n, CAST(SUM(r.total_amount) AS BIGINT) AS gross
+  FROM reservations r JOIN periods p ON CAST(r.completed_at AS DATE) BETWEEN p.period_start AND p.period_end
+  JOIN shops s ON s.id=r.shop_id AND s.shop_status='active' WHERE r.status='completed' GROUP BY ALL),
+paid AS (SELECT sums.*, COALESCE(q.override_rate,q.type_rate) AS rate,
+  CAST(FLOOR(CAST(gross*CAST(COALESCE(q.override_rate,q.type_rate)*100 AS BIGINT) AS DECIMAL(30,0))*0.0001) AS BIGINT) AS fee
+  FROM sums JOIN rates q ON q.shop_id=sums.shop_id)
+SELECT settlement_period, period_start AS period_start_date, period_end AS period_end_date, shop_id, n AS completed_bookings,
+  gross AS gross_revenue, rate AS commission_rate, fee AS commission_amount, gross-fee AS net_settlement_amount FROM paid""")
+def _(t):
+    return settlement.scheduled_settlements(t, _due_periods(t))
+
+
 @query("settlement_details", f"""
 WITH rates AS ({RATES})
 SELECT r.id AS reservation_id, r.shop_id, r.total_amount AS service_amount, COALESCE(q.override_rate,q.type_rate) AS commission_rate,

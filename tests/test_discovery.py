@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window, functions as F
 
 from slotwise.operators import discovery
+from tests.conftest import rows
 
 
 def km(lat1, lon1, lat2, lon2):
@@ -74,3 +76,32 @@ def test_dense_ranks_share_places(spark):
     assert sorted((r.id, r.place) for r in dense_ranks(df, "g", "n", "place").collect()) == [
         (0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)
     ]
+
+
+def test_candidates_stay_few_for_far_users_and_beside_a_dense_core(spark):
+    k = 10
+    # 10,000 shops around one place, and users in it, some kilometres off, in a suburb of few shops, and across the globe.
+    core = spark.range(10_000).selectExpr(
+        "id", "'active' AS shop_status", "37.5 + (id % 100) * 0.0005 AS latitude", "127.0 + (id div 100) * 0.0005 AS longitude"
+    )
+    suburb = spark.range(10_000, 10_007).selectExpr("id", "'active' AS shop_status", "37.62 + id % 7 * 0.001 AS latitude", "127.02 AS longitude")
+    users = spark.createDataFrame(
+        [(1, 40.71, -74.0), (2, 37.52, 127.02), (3, 37.62, 127.02), (4, 37.45, 126.9), (5, -33.0, 180.0), (6, 90.0, 0.0)],
+        "id LONG, latitude DOUBLE, longitude DOUBLE",
+    )
+    shops = core.unionByName(suburb)
+    places = shops.selectExpr("id AS shop_id", "latitude AS shop_lat", "longitude AS shop_lon").withColumns({
+        "shop_row": discovery.row_cell(F.col("shop_lat"), discovery.LEVELS[-1]), "shop_col": discovery.column_cell(F.col("shop_lon"), discovery.LEVELS[-1]),
+    })
+    home = users.select(
+        discovery.row_cell(F.col("latitude"), discovery.HOME_LEVEL).alias("row"), discovery.column_cell(F.col("longitude"), discovery.HOME_LEVEL).alias("col")
+    ).distinct()
+    most = discovery._candidates(home, places, k).groupBy("row", "col").count().agg(F.max("count")).first()[0]
+    assert k <= most <= 30 * k
+    got = rows(discovery.nearby_shops(users, shops, k).select("user_id", "position", "shop_id"))
+    near = users.crossJoin(shops.withColumnsRenamed({"id": "shop_id", "latitude": "a", "longitude": "b"})).select(
+        F.col("id").alias("user_id"), "shop_id",
+        F.round(discovery.distance_km(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b")), 3).alias("d"),
+    )
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("d", "shop_id"))
+    assert got == rows(near.withColumn("position", place).filter(f"position <= {k}").select("user_id", "position", "shop_id"))

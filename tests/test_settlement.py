@@ -171,3 +171,19 @@ def test_shops_without_bookings_have_a_row_and_no_settlement(spark, tables):
     assert got.count() == t["shops"].count()
     assert got.filter("shop_id <> 3 AND (booking_count <> 0 OR gross_revenue <> 0)").isEmpty()
     assert [r.shop_id for r in settlement.settlement_batch(t, "monthly", *june)["settlements"].collect()] == [3]
+
+
+def test_scheduled_periods_overlap_and_target_types(spark, tables):
+    t = shop_tables(spark, tables, [done(1, 1, 100, day=5), done(2, 1, 200, day=12), done(3, 2, 300, day=5), done(4, 4, 999, day=5)])
+    first, middle, last = dt.date(2001, 6, 4), dt.date(2001, 6, 11), dt.date(2001, 6, 17)
+    week = dt.timedelta(days=6)
+    periods = spark.createDataFrame(
+        [("weekly", first, first + week, None), ("weekly", middle, last, "partnered"), ("bi_weekly", first, last, None)],
+        "settlement_period STRING, period_start DATE, period_end DATE, target_shop_type STRING",
+    )
+    got = settlement.scheduled_settlements(t, periods).select("settlement_period", "period_start_date", "shop_id", "gross_revenue", "commission_amount")
+    assert rows(got) == [
+        ("bi_weekly", first, 1, 300, 24), ("bi_weekly", first, 2, 300, 30), ("weekly", first, 1, 100, 8),
+        ("weekly", first, 2, 300, 30), ("weekly", middle, 1, 200, 16),
+    ]
+    assert settlement.scheduled_settlements(t, periods, minimum_amount=250).count() == 3
