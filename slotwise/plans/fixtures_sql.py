@@ -140,7 +140,7 @@ SELECT c_custkey AS id, c_custkey AS applicant_id, CONCAT('Shop ',c_name) AS sho
   CASE c_custkey%4 WHEN 0 THEN 'nail' WHEN 1 THEN 'eyelash' WHEN 2 THEN 'waxing' ELSE 'eyebrow_tattoo' END AS main_category,
   CONCAT('addr ',CAST(c_custkey AS STRING)) AS shop_address,
   TIMESTAMP '2001-01-01 00:00:00'+INTERVAL '1' DAY*CAST(c_custkey%180 AS INT) AS created_at,
-  CASE c_custkey%3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS application_status FROM customer WHERE c_custkey%5=0""",
+  CASE c_custkey%3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS application_status FROM customer""",
     "promotions": """
 SELECT p_partkey AS id, CONCAT('P',CAST(p_partkey AS STRING)) AS promotion_code, p_name AS title,
   CASE WHEN p_partkey%10<>9 THEN CONCAT('{"min_amount":',CAST(p_size*1000 AS STRING),',"category":"',
@@ -152,7 +152,7 @@ SELECT p_partkey AS id, CONCAT('P',CAST(p_partkey AS STRING)) AS promotion_code,
   TIMESTAMP '2001-01-01 00:00:00'+INTERVAL '1' DAY*CAST(p_partkey%300+30+p_size*5 AS INT) AS ends_at, p_partkey%7<>0 AS is_active
 FROM part""",
     "promotion_usages": """
-SELECT l_partkey AS promotion_id, o_custkey AS user_id, l_shipdate AS used_at FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber=3""",
+SELECT l_partkey AS promotion_id, o_custkey AS user_id, l_shipdate AS used_at FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber<>5""",
     "promotion_claims": """
 SELECT CONCAT(CAST(l_orderkey AS STRING),'-',CAST(l_partkey AS STRING),'-',CAST(l_suppkey AS STRING)) AS claim_id, l_partkey AS promotion_id,
   o_custkey AS user_id, CAST(FLOOR(l_extendedprice) AS BIGINT) AS amount,
@@ -165,15 +165,16 @@ SELECT CONCAT('N',CAST(id AS STRING)) AS id, user_id, CASE status WHEN 'confirme
 FROM reservations WHERE status IN ('confirmed','cancelled_by_shop') OR (status='completed' AND id%4<>3)""",
     "reviews": """
 SELECT CONCAT('V',CAST(id AS STRING)) AS id, id AS reservation_id, user_id, shop_id, CAST(1+id%5 AS INT) AS rating, created_at
-FROM reservations WHERE id%4=0""",
+FROM reservations""",
     "faqs": """
-SELECT a.conv_id AS id, CASE a.conv_id%3 WHEN 0 THEN 'booking' WHEN 1 THEN 'points' ELSE 'account' END AS category, a.text AS question, b.text AS answer,
+SELECT a.conv_id AS id, CASE a.conv_id%3 WHEN 0 THEN 'booking' WHEN 1 THEN 'points' ELSE 'account' END AS category, a.text AS question, b.answer,
   CAST(a.conv_id%20 AS INT) AS display_order, a.conv_id%6<>0 AS is_active
-FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id WHERE a.turn=0 AND b.turn=1""",
+FROM conversations a JOIN (SELECT conv_id, STRING_AGG(text, CHR(10) ORDER BY turn) AS answer FROM conversations WHERE turn>0 GROUP BY conv_id) b
+  ON a.conv_id=b.conv_id WHERE a.turn=0""",
     "shop_images": """
 SELECT CONCAT(CAST(s_suppkey AS STRING),'-',CAST(d AS STRING)) AS id, s_suppkey AS shop_id, d AS display_order FROM supplier CROSS JOIN (VALUES (0),(1)) AS t(d)""",
     "service_images": """
-SELECT CONCAT('img-',CAST(id AS STRING)) AS id, id AS service_id FROM shop_services WHERE id%3=0""",
+SELECT CONCAT('img-',CAST(id AS STRING)) AS id, id AS service_id FROM shop_services""",
     "reservation_actions": """
 SELECT CONCAT('A',CAST(id AS STRING)) AS id, id AS reservation_id, status AS action, shop_id AS performed_by, 'requested' AS previous_status,
   status AS new_status, created_at FROM reservations WHERE status IN ('confirmed','cancelled_by_shop')""",

@@ -399,7 +399,7 @@ def hours_changes(t: Tables) -> DataFrame:
 
 def shop_applications(t: Tables) -> DataFrame:
     k = _c("c_custkey")
-    return t["customer"].filter(k % 5 == 0).select(
+    return t["customer"].select(
         k.alias("id"),
         k.alias("applicant_id"),
         _text("Shop ", _c("c_name")).alias("shop_name"),
@@ -431,13 +431,14 @@ def promotions(t: Tables) -> DataFrame:
 
 def promotion_usages(t: Tables) -> DataFrame:
     return (
-        t["lineitem"].filter(_c("l_linenumber") == 3).select("l_orderkey", "l_partkey", "l_shipdate")
+        t["lineitem"].filter(_c("l_linenumber") != 5).select("l_orderkey", "l_partkey", "l_shipdate")
         .join(t["orders"].select("o_orderkey", "o_custkey"), _c("l_orderkey") == _c("o_orderkey"))
         .select(_c("l_partkey").alias("promotion_id"), _c("o_custkey").alias("user_id"), _c("l_shipdate").alias("used_at"))
     )
 
 
 def promotion_claims(t: Tables) -> DataFrame:
+    """Fifth lines ask for what the other lines have used."""
     lines = t["lineitem"].filter(_c("l_linenumber") == 5).join(
         t["orders"].select("o_orderkey", "o_custkey"), _c("l_orderkey") == _c("o_orderkey")
     )
@@ -468,7 +469,7 @@ def notifications(t: Tables) -> DataFrame:
 
 
 def reviews(t: Tables) -> DataFrame:
-    return t["reservations"].filter(_c("id") % 4 == 0).select(
+    return t["reservations"].select(
         _text("V", _c("id")).alias("id"),
         _c("id").alias("reservation_id"),
         "user_id",
@@ -524,10 +525,13 @@ def announcements(t: Tables) -> DataFrame:
 
 
 def faqs(t: Tables) -> DataFrame:
-    """First question and answer of each conversation."""
-    asked = t["conversations"].filter(_c("turn") == 0).select("conv_id", _c("text").alias("question"))
-    answered = t["conversations"].filter(_c("turn") == 1).select("conv_id", _c("text").alias("answer"))
-    return asked.join(answered, "conv_id").select(
+    """Each conversation that has an answer: its first turn asks, all later ones answer."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    talks = t["conversations"].groupBy("conv_id").agg(turns.alias("turns"))
+    said = F.transform(F.filter("turns", lambda x: x["turn"] > 0), lambda x: x["text"])
+    return talks.filter((_c("turns")[0]["turn"] == 0) & (F.size(said) > 0)).select(
+        "conv_id", _c("turns")[0]["text"].alias("question"), F.array_join(said, "\n").alias("answer")
+    ).select(
         _c("conv_id").alias("id"),
         _pick(_c("conv_id") % 3, "booking", "points", "account").alias("category"),
         "question", "answer",
@@ -544,7 +548,7 @@ def shop_images(t: Tables) -> DataFrame:
 
 
 def service_images(t: Tables) -> DataFrame:
-    return t["shop_services"].filter(_c("id") % 3 == 0).select(
+    return t["shop_services"].select(
         _text("img-", _c("id")).alias("id"), _c("id").alias("service_id")
     )
 
