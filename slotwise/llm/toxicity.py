@@ -41,9 +41,10 @@ def _code_points(text: str) -> np.ndarray:
 
 
 def _grams(text: str):
-    """(first character of each word, for each size the positions and buckets of its n-grams) of lower-cased text.
+    """(first character of each word, for each size the positions and buckets of its n-grams, code points) of lower-cased text.
 
-    An n-gram may begin or end with the space around its word but holds none inside.
+    An n-gram may begin or end with the space around its word but holds none inside. The code points,
+    the spaces around the text included, can be more than those of the text: some letters have two in lower case.
     """
     points = _code_points(" " + text.lower() + " ")
     space = (points == 32) | ((points >= 9) & (points <= 13))
@@ -60,12 +61,12 @@ def _grams(text: str):
         if n in _SIZES:
             at = np.flatnonzero(after[: len(hashes)] >= np.arange(n - 1, len(hashes) + n - 1))
             grams.append((at, ((hashes[at] * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int32)))
-    return starts, grams
+    return starts, grams, len(points)
 
 
 def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """(bucket of each n-gram, number of its word, count of words) of a whole text."""
-    starts, grams = _grams(text)
+    starts, grams, _ = _grams(text)
     if not len(starts):
         return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), 0
     at = np.concatenate([g[0] for g in grams])
@@ -75,10 +76,10 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _word_values(weights: np.ndarray, text: str) -> np.ndarray:
     """Each word's mean weight over its n-grams."""
-    starts, grams = _grams(text)
+    starts, grams, points = _grams(text)
     if not len(starts):
         return np.zeros(0)
-    sums, counts = np.zeros(len(text) + 2), np.zeros(len(text) + 2)
+    sums, counts = np.zeros(points), np.zeros(points)
     for at, buckets in grams:
         sums[at] += weights[buckets]  # a size has one n-gram at a place
         counts[at] += 1

@@ -45,6 +45,15 @@ def test_scores_do_not_depend_on_the_batch(documents):
         assert 0 <= got[i] <= 1
 
 
+def test_letters_that_grow_in_lower_case(documents):
+    texts = ["İİİ İstanbul word", "İ" * 50 + " blockhead", "plain", None, "İyi günler İzmir İyi word"]
+    model = X.Model(np.random.default_rng(3).normal(size=X.BUCKETS).astype(np.float32), -0.5)
+    got = {r.id: r.score for r in X.score_toxicity(documents(*texts), model).collect()}
+    for i, t in enumerate(texts):
+        # Lower-cased beforehand, a text keeps its length.
+        assert math.isclose(got[i], model.score((t or "").lower()), abs_tol=1e-9)
+
+
 def test_fit_without_labels_is_neutral(documents, no_documents, spark):
     labels = spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, toxic int")
     model = X.fit(documents("a", "b", "c"), labels)
