@@ -66,7 +66,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked, _ = nn_descent.near_links(table(spark, sf_dir, "embeddings"))
+    linked, recall = nn_descent.near_links(table(spark, sf_dir, "embeddings"))
+    if recall < nn_descent.RECALL:
+        raise RuntimeError(f"op3_nn_descent: audited recall {recall:.4f} is below {nn_descent.RECALL}")
     return linked.withColumnRenamed("id", "vec_id")
 
 
