@@ -1,15 +1,21 @@
 """License scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-The units of a document are its lines, its paragraphs (between blank lines) and its whole text. A
-unit of a bigrams and a template of b, c of them common, have the Dice coefficient 2c / (a + b). As
+The units of a document are its lines, its paragraphs (between blank lines), its whole text, and
+windows of consecutive words, wherever they begin and end, for licences of several paragraphs or
+beside other text. A unit of a bigrams and a template of b, c of them common, have the Dice coefficient 2c / (a + b). As
 c is at most the smaller of both, a coefficient of t needs a and b within a factor of (2 - t) / t;
 templates outside are never compared. The others are found through an index from bigrams to
 templates, so a unit that shares no bigram with any costs one lookup a bigram.
+
+Windows begin and end with a bigram of their template, as any other word at the ends only lowers the
+coefficient, and have at most (2 - t) / t times its words. A text without enough of a template's
+bigrams has no window for it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -70,13 +76,22 @@ CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFT
 THE SOFTWARE."""),
 )
 
-_NOTICE = re.compile(r"(?im)^[ \t]*(?:copyright|\(c\)|©)[^\n]*?\b\d{4}\b[^\n]*$")
+# A copyright clause: its mark and years, and the holder up to the end of the sentence or line. A full stop after an
+# initial or a company's form ends no sentence.
+_NOTICE = re.compile(
+    r"(?im)^[^\w\n©(]*(?:copyright|\(c\)|©)[^\n]*?\b\d{4}\b"
+    r"(?:[^\n.;]|[.;](?!\s)|(?<=\b\w)\.|(?<=\binc)\.|(?<=\bltd)\.|(?<=\bco)\.|(?<=\bcorp)\.|(?<=\bllc)\.)*[.;]?"
+)
 _OTHER = re.compile(r"[^\w\n]+|_+")
 
 
 def normalised_lines(text: str) -> list[list[str]]:
-    """Words of each line: lower case, letters and digits only, copyright lines emptied."""
-    return [line.split() for line in _OTHER.sub(" ", _NOTICE.sub("", text).lower()).split("\n")]
+    """Words of each line: lower case, letters and digits only, without copyright clauses."""
+    return _words(_NOTICE.sub("", text))
+
+
+def _words(text: str) -> list[list[str]]:
+    return [line.split() for line in _OTHER.sub(" ", text.lower()).split("\n")]
 
 
 def bigrams(words: list[str]) -> set[tuple[str, str]]:
@@ -106,7 +121,9 @@ class Templates:
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.names = [name for name, _ in templates]
-        sets = [bigrams([w for line in normalised_lines(text) for w in line]) for _, text in templates]
+        words = [[w for line in normalised_lines(text) for w in line] for _, text in templates]
+        sets = [bigrams(own) for own in words]
+        self.lengths = [int((len(own) - 1) * (2 - threshold) / threshold) for own in words]  # bigrams of a window
         self.sizes = [len(s) for s in sets]
         self.index: dict[tuple[str, str], list[int]] = {}
         for k, own in enumerate(sets):
@@ -115,7 +132,12 @@ class Templates:
         self.largest = max(self.sizes, default=0) * (2 - threshold) / threshold
 
     def matches(self, text: str) -> Iterator[tuple[float, str, int, int]]:
-        """(coefficient, name, first line, last line) of all units that reach the threshold, best template each."""
+        """(coefficient, name, first line, last line) of all units that reach the threshold, best template each.
+
+        Windows inside or across the end of another unit that matched, or around one of no smaller a
+        template, are part of the same licence and not given out.
+        """
+        taken: list[tuple[int, int, int]] = []
         for first, last, words in _units(normalised_lines(text)):
             # A unit repeats some bigrams at most; one word alone has none.
             if len(words) < 2:
@@ -129,12 +151,76 @@ class Templates:
                     if self.threshold * (len(own) + self.sizes[k]) <= 2 * min(len(own), self.sizes[k]):
                         common[k] = common.get(k, 0) + 1
             reached = [
-                (2 * c / (len(own) + self.sizes[k]), self.names[k]) for k, c in common.items()
+                (2 * c / (len(own) + self.sizes[k]), self.names[k], k) for k, c in common.items()
                 if 2 * c >= self.threshold * (len(own) + self.sizes[k])
             ]
             if reached:
-                value, name = min(reached, key=lambda r: (-r[0], r[1]))
+                value, name, k = min(reached, key=lambda r: (-r[0], r[1]))
+                taken.append((first, last, self.sizes[k]))
                 yield value, name, first, last
+        yield from self._windows(text, taken)
+
+    def _windows(self, text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[float, str, int, int]]:
+        # Copyright clauses stay: where no sentence ends, the licence may follow on the same line.
+        lines = _words(text)
+        words = [w for line in lines for w in line]
+        common: dict[int, int] = {}
+        for pair in bigrams(words) & self.index.keys():
+            for k in self.index[pair]:
+                common[k] = common.get(k, 0) + 1
+        # A window has at least so many of its template's bigrams.
+        least = {k: self.threshold * self.sizes[k] / (2 - self.threshold) for k in common}
+        hits: dict[int, list[int]] = {k: [] for k, c in common.items() if c >= least[k] - 1e-9}
+        if not hits:
+            return
+        for at, pair in enumerate(zip(words, words[1:])):
+            for k in self.index.get(pair, ()):
+                if k in hits:
+                    hits[k].append(at)
+        line_of = [k for k, line in enumerate(lines) for _ in line]
+        chosen: list[tuple[int, int]] = []
+        found = []
+        for k, places in hits.items():
+            found += [(-self.sizes[k], -value, self.names[k], a, b) for value, a, b in self._of_template(k, words, places, least[k])]
+        # The largest template first, so that a short one inside a longer licence is not told twice.
+        for size, value, name, a, b in sorted(found):
+            first, last = line_of[a], line_of[b]
+            if any(a <= y and x <= b for x, y in chosen):
+                continue
+            if any(f <= last and first <= t and not (first <= f and t <= last and n < -size) for f, t, n in taken):
+                continue
+            chosen.append((a, b))
+            yield -value, name, first, last
+
+    def _of_template(self, k: int, words: list[str], places: list[int], least: float) -> Iterator[tuple[float, int, int]]:
+        """(coefficient, first word, last word) of the windows that fit a template, the best of each neighbourhood."""
+        own, inside, i = set(places), {(words[p], words[p + 1]) for p in places}, 0
+        while i < len(places):
+            best = None
+            until = None
+            while i < len(places) and (until is None or places[i] <= until):
+                start = places[i]
+                i += 1
+                end = start + self.lengths[k]
+                if bisect_right(places, end - 1) - i + 1 < least - 1e-9:
+                    continue
+                seen: set[tuple[str, str]] = set()
+                common = 0
+                for at in range(start, min(end, len(words) - 1)):
+                    pair = (words[at], words[at + 1])
+                    if pair not in seen:
+                        seen.add(pair)
+                        common += pair in inside
+                    if at in own and 2 * common >= self.threshold * (len(seen) + self.sizes[k]):
+                        value = 2 * common / (len(seen) + self.sizes[k])
+                        if best is None or value > best[0]:
+                            best = value, start, at + 1
+                # Where a window fits, those that begin a little later may fit better.
+                if best is not None and until is None:
+                    until = start + self.lengths[k] - int(least)
+            if best is not None:
+                yield best
+                i = max(i, bisect_right(places, best[2] - 1))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,

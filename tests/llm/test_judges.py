@@ -171,5 +171,65 @@ def test_license_scan_against_brute_force(documents):
     assert {r.id: r.license for r in got}[4] == "MIT"
 
 
+MIT_PARAGRAPHS = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+PROSE = "\n".join(f"Line {i} of a manual that tells in the usual words what part {i} is for." for i in range(60))
+GPL_HEADER = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_licenses_of_several_paragraphs_in_longer_texts(documents):
+    bsd = L.TEMPLATES[2][1].replace(" 1. R", "\n\n1. R").replace(" 2. R", "\n\n2. R").replace(" THIS S", "\n\nTHIS S")
+    apache = L.TEMPLATES[1][1].replace(" You may", "\n *\n * You may").replace("\nUnless", "\n *\n * Unless")
+    texts = [
+        f"{PROSE}\n\n{MIT_PARAGRAPHS}\n\n{PROSE}", f"{PROSE}\n\n{bsd}\n{PROSE}", GPL_HEADER, f"/*\n{GPL_HEADER}\n */\nint main() {{\n{PROSE}",
+        f"# tool\n{apache}\nimport os\n{PROSE}", "Released under the MIT License. import os and more code right here",
+        "Copyright (c) 2020 A. Holder. Licensed under the MIT License.",
+        "Copyright (c) 2019-2021 Some Holder, Inc. " + " ".join(MIT_PARAGRAPHS.split()) + " " + " ".join(PROSE.split()), PROSE,
+    ]
+    got = {r.id: r for r in L.scan_licenses(documents(*texts)).collect()}
+    assert [got[i].license for i in range(9)] == ["MIT", "BSD-2-Clause", "GPL-3.0", "GPL-3.0", "Apache-2.0", "MIT", "MIT", "MIT", None]
+    assert (got[0].first_line, got[0].last_line, got[0].n_matches, got[0].dice) == (61, 72, 1, 1.0)
+    assert got[1].dice > 0.99 and got[2].dice > 0.9
+
+
+def test_windows_are_those_of_brute_force():
+    r = random.Random(12)
+    short = (("A", "one two three four five six seven eight nine ten"), ("B", "red green blue white"))
+    known = L.Templates(short)
+    for _ in range(60):
+        own = short[r.randrange(2)][1].split()
+        if r.random() < 0.5:
+            own[r.randrange(len(own))] = "other"
+        words = [*r.choices(["one", "two", "red", "x", "y"], k=r.randrange(12)), *own, *r.choices(["ten", "blue", "x", "z"], k=r.randrange(12))]
+        best = max(
+            2 * len(L.bigrams(words[a:b]) & L.bigrams(t.split())) / (len(L.bigrams(words[a:b])) + len(L.bigrams(t.split())))
+            for _, t in short for a in range(len(words)) for b in range(a + 2, len(words) + 1)
+        )
+        # Words dealt to lines, so that no line or paragraph is the unit.
+        found = max((m[0] for m in known.matches(" ".join(words))), default=0.0)
+        assert (found >= 0.9) == (best >= 0.9)
+
+
 def test_licenses_of_nothing(no_documents):
     assert L.scan_licenses(no_documents).collect() == []
