@@ -112,6 +112,9 @@ def _(t):
     return quality.enum_violations(t, _CHECKED)
 
 
+_KEYED = ["users", "shops", "user_favorites", "reservations", "shop_operating_hours"]
+
+
 def _unique(table: str, *key: str) -> str:
     columns, present = ",".join(key), " AND ".join(f"{c} IS NOT NULL" for c in key)
     return (
@@ -144,7 +147,54 @@ def _orphan(table: str, column: str, parent: str) -> str:
     _unique("shop_operating_hours", "shop_id", "day_of_week"), _orphan("shop_operating_hours", "shop_id", "shops"),
 ]))
 def _(t):
-    return quality.key_violations(t, ["users", "shops", "user_favorites", "reservations", "shop_operating_hours"])
+    return quality.key_violations(t, _KEYED)
+
+
+# The sampled tables with declared checks that the two queries above leave out.
+_OTHER_KEYS = [
+    "shop_services", "payments", "point_transactions", "shop_settlements", "settlement_transfers", "shop_settlement_configs",
+    "reservation_services", "reservation_actions", "user_settings", "push_tokens", "notifications", "content_reports", "promotions",
+    "shop_applications", "shop_notification_settings", "shop_images", "service_images", "system_settings",
+]
+_OTHER_ENUMS = ["shop_applications"]
+
+
+@query("key_violations_other", "\nUNION ALL ".join([
+    _unique("shop_services", "id"), *[_missing("shop_services", c) for c in ("id", "shop_id", "name", "category")],
+    _long("shop_services", "name", 255), _orphan("shop_services", "shop_id", "shops"),
+    _unique("payments", "id"), *[_missing("payments", c) for c in ("id", "reservation_id", "user_id", "payment_method", "amount")],
+    _orphan("payments", "reservation_id", "reservations"), _orphan("payments", "user_id", "users"),
+    _unique("point_transactions", "id"), *[_missing("point_transactions", c) for c in ("id", "user_id", "transaction_type", "amount")],
+    _orphan("point_transactions", "user_id", "users"), _orphan("point_transactions", "reservation_id", "reservations"),
+    _orphan("point_transactions", "related_user_id", "users"),
+    _unique("shop_settlements", "id"), *[_missing("shop_settlements", c) for c in ("id", "shop_id", "period_start_date")],
+    _orphan("shop_settlements", "shop_id", "shops"),
+    _unique("settlement_transfers", "settlement_id"), _orphan("settlement_transfers", "settlement_id", "shop_settlements"),
+    _unique("shop_settlement_configs", "shop_id"), _orphan("shop_settlement_configs", "shop_id", "shops"),
+    _orphan("reservation_services", "reservation_id", "reservations"), _orphan("reservation_services", "service_id", "shop_services"),
+    _orphan("reservation_actions", "reservation_id", "reservations"),
+    _unique("user_settings", "user_id"), _orphan("user_settings", "user_id", "users"),
+    _unique("push_tokens", "user_id", "token"), _orphan("push_tokens", "user_id", "users"),
+    _orphan("notifications", "user_id", "users"), _orphan("content_reports", "reporter_id", "users"),
+    _unique("promotions", "id"), _unique("promotions", "promotion_code"),
+    _unique("shop_applications", "id"), _orphan("shop_applications", "applicant_id", "users"),
+    _unique("shop_notification_settings", "shop_id"), _orphan("shop_notification_settings", "shop_id", "shops"),
+    _orphan("shop_images", "shop_id", "shops"), _orphan("service_images", "service_id", "shop_services"),
+    _unique("system_settings", "setting_key"),
+]))
+def _(t):
+    return quality.key_violations(t, _OTHER_KEYS)
+
+
+@query("enum_violations_other", """
+SELECT 'shop_applications' AS table_name, 'main_category' AS column_name, main_category AS value, FALSE AS drifted, COUNT(*) AS rows
+FROM (SELECT CASE WHEN id%9=0 THEN 'tattoo' ELSE main_category END AS main_category FROM shop_applications) x WHERE main_category IS NOT NULL AND main_category NOT IN ({}) GROUP BY main_category""".format(
+    ",".join(f"'{v}'" for v in model.DOMAINS["service_category"])
+))
+def _(t):
+    # The sample has no value outside the domain, so some are planted.
+    category = F.when(F.col("id") % 9 == 0, "tattoo").otherwise(F.col("main_category"))
+    return quality.enum_violations({"shop_applications": t["shop_applications"].withColumn("main_category", category)}, _OTHER_ENUMS)
 
 
 @query("pii_masked", """

@@ -227,3 +227,21 @@ def test_dashboard_prefers_an_unpaid_settlement(spark, tables):
     assert (one.last_month_bookings, one.total_bookings, one.pending_reservations) == (1, 3, 1)
     assert (one.last_settlement_amount, one.last_settlement_date) == (22, None)
     assert got[2].total_bookings == 0 and got[2].last_settlement_amount is None
+
+
+def test_every_sampled_table_with_declared_checks_is_checked(spark):
+    from slotwise.plans import guards
+    from slotwise.plans.registry import QUERIES
+    from slotwise.sources import model
+    from slotwise.sources.samples import open_samples
+
+    sampled = open_samples(spark, "/root/testdata/sf0.001")
+    keyed = {*model.REQUIRED, *model.MAX_LENGTH, *model.UNIQUE_KEYS, *(child for child, _ in model.REFERENCES)}
+    typed = {n for n, columns in model.ENUM_COLUMNS.items() if n in sampled and set(columns) & set(sampled[n].columns)}
+    # The seed schedules are a few fixed rows.
+    for declared, checked in ((keyed, guards._KEYED + guards._OTHER_KEYS), (typed, guards._CHECKED + guards._OTHER_ENUMS)):
+        assert {n for n in declared if n in sampled} - {"settlement_schedules"} == set(checked)
+        assert len(checked) == len(set(checked))
+    names = {(r.table_name, r.check_name, r.columns) for r in QUERIES["key_violations_other"].run(spark, "/root/testdata/sf0.001").collect()}
+    assert ("payments", "unique", "id") in names and ("point_transactions", "reference", "related_user_id") in names
+    assert ("shop_services", "not_null", "name") in names and ("shop_settlements", "reference", "shop_id") in names
