@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -111,8 +111,12 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def _groups(n: int, group_size: int) -> int:
+    return max(1, -(-n // group_size))
+
+
 def _pack(pieces: DataFrame, n: int, capacity: int, group_size: int, salt: int) -> DataFrame:
-    groups = max(1, -(-n // group_size))
+    groups = _groups(n, group_size)
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(groups)))
     columns = [field.strip().split(" ")[0] for field in PIECE_COLUMNS.split(",")]
     dealt = dealt.select(*columns, "group").repartition(min(groups, parts_of(pieces.sparkSession)), "group")
@@ -131,21 +135,24 @@ def _pack(pieces: DataFrame, n: int, capacity: int, group_size: int, salt: int)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = END, keep_ids: bool = False,
-                   id_col: str = "doc_id", text_col: str = "text", group_size: int = PIECES, rounds: int = 4) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", group_size: int = PIECES, rounds: int | None = None) -> DataFrame:
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, ids,
     sequence_id, offset, fill (tokens of the sequence), certified.
 
     ``certified`` says that the group of partitions which packed the piece met its lower bound.
     An empty table gives an empty result; see :func:`document_pieces` for nulls and repeated rows.
-    Exchanges go on while they save bins, ``rounds`` times at most; that limits polish, not rows.
+    Exchanges go on while they save bins, so they end; ``rounds``, where given, ends them sooner.
     """
     # Tokenising is the dear part: it is written, and all that follows reads the narrow rows.
     pieces = cut_lineage(document_pieces(docs, tokenizer, capacity, end_id, keep_ids, id_col, text_col))
     full = pieces.filter(F.col("length") == capacity)
     partial = pieces.filter(F.col("length") < capacity)
-    placed, turn = [], 0
-    current = cut_lineage(_pack(partial, partial.count(), capacity, group_size, 0))
-    for salt in range(1, rounds):
+    placed, base, n = [], 0, partial.count()
+    current = cut_lineage(_pack(partial, n, capacity, group_size, 0))
+    for salt in count(1):
+        if rounds is not None and salt >= rounds:
+            break
+        dealt = _groups(n, group_size)
         loose = (F.col("gap") > 0) & (F.col("fill") < capacity)
         pool = current.filter(loose)
         n, bins, groups = pool.agg(
@@ -156,9 +163,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
         again = cut_lineage(_pack(pool, n, capacity, group_size, salt))
         if again.filter("offset = 0").count() >= bins:
             break
-        placed.append(_numbered(current.filter(~loose), turn))
-        current, turn = again, salt
-    placed.append(_numbered(current, turn))
+        placed.append(_numbered(current.filter(~loose), base))
+        current, base = again, base + dealt
+    placed.append(_numbered(current, base))
     own = full.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "ids", (-F.col("uid") - 1).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("fill"), F.lit(True).alias("certified"),
@@ -168,9 +175,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     return own
 
 
-def _numbered(packed: DataFrame, turn: int) -> DataFrame:
-    """Sequences numbered by turn (4 bits), group (38 bits) and bin (20 bits)."""
-    number = F.lit(turn << 58).bitwiseOR(F.shiftleft("group", 20)).bitwiseOR(F.col("bin"))
+def _numbered(packed: DataFrame, base: int) -> DataFrame:
+    """Sequences numbered by group (43 bits), after the ``base`` groups of the turns before, and bin (20 bits)."""
+    number = F.shiftleft(F.col("group").cast("long") + F.lit(base), 20).bitwiseOR(F.col("bin"))
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "ids", number.alias("sequence_id"), "offset", "fill",
         (F.col("gap") == 0).alias("certified"),

@@ -125,5 +125,22 @@ def test_packing_places_every_piece_once(documents, library):
     assert len(sequences) <= -(-sum(w[3] for w in want) // 64) * 1.1
 
 
+def test_exchanges_go_on_while_they_save_sequences(documents, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    def one_less_each_turn(pieces, n, capacity, group_size, salt):
+        """A stand-in for packing, in which each of six exchanges saves a bin."""
+        k = (F.row_number().over(Window.orderBy("uid")) - 1).cast("long")
+        placed = pieces.withColumn("k", k).withColumn("bin", F.greatest(F.col("k") - salt, F.lit(0).cast("long")))
+        placed = placed.withColumn("group", F.col("bin") % 2).withColumn("offset", F.when(F.col("bin") == 0, F.col("k")).otherwise(0))
+        placed = placed.withColumn("fill", F.lit(9).cast("long")).withColumn("gap", F.lit(int(salt < 6)).cast("long"))
+        return placed.select(*[f.strip().split(" ")[0] for f in packing.PACKED_COLUMNS.split(",")])
+
+    monkeypatch.setattr(packing, "_pack", one_less_each_turn)
+    got = packing.pack_documents(documents(*["the " * i for i in range(1, 21)]), PATH, capacity=64).collect()
+    assert len(got) == 20 and len({p.sequence_id for p in got}) == 14
+
+
 def test_packing_nothing(no_documents):
     assert packing.pack_documents(no_documents, PATH).collect() == []
