@@ -113,4 +113,53 @@ SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.5 THEN
 FROM p JOIN y ON y.host = p.host AND y.parts = p.parts
 """
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op5_url_templates": OP5}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source,
+                  coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+e AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS place FROM w),
+g AS (SELECT r, place, count(*) OVER (PARTITION BY r, five) AS times
+      FROM (SELECT r, place, concat_ws(' ', word, lead(word) OVER s, lead(word, 2) OVER s, lead(word, 3) OVER s, lead(word, 4) OVER s) AS five,
+                   lead(word, 4) OVER s IS NOT NULL AS whole FROM e WINDOW s AS (PARTITION BY r ORDER BY place)) WHERE whole),
+c AS (SELECT r, count(DISTINCT place + k)::BIGINT AS n FROM g, range(5) AS s(k) WHERE times > 1 GROUP BY r),
+b AS (SELECT w.r, doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM w LEFT JOIN c ON c.r = w.r),
+m AS (SELECT *, unnest([{'s': 'word_length', 'v': word_chars * 1000 // n_words}, {'s': 'symbols', 'v': n_symbols * 1000 // n_words},
+                        {'s': 'dup_lines', 'v': n_dup_lines * 1000 // n_lines}, {'s': 'repeats', 'v': n_repeat_words * 1000 // n_words}]) AS x
+      FROM b WHERE n_words > 0),
+k AS (SELECT lang, source, x.s AS signal, x.v AS v, greatest(length(bin(x.v)) - 7, 0) AS shift FROM m),
+-- A value stands for its bucket: the middle of those that share its highest seven bits.
+q AS (SELECT *, ((v >> shift) << shift) + ((1 << shift) >> 1) AS mid FROM k),
+l AS (SELECT 'source' AS scope, lang, source, signal, mid FROM q
+      UNION ALL SELECT 'language', lang, NULL, signal, mid FROM q
+      UNION ALL SELECT 'corpus', NULL, NULL, signal, mid FROM q),
+f AS (SELECT scope, lang, source, signal, count(*) AS n, quantile_disc(mid, 0.25) AS q1, quantile_disc(mid, 0.75) AS q3
+      FROM l GROUP BY ALL),
+h AS (SELECT *, greatest(3 * (q3 - q1), CASE signal WHEN 'word_length' THEN 3000 WHEN 'symbols' THEN 100
+                                                    WHEN 'dup_lines' THEN 400 ELSE 200 END) AS reach FROM f),
+z AS (SELECT scope, lang, source, any_value(n) AS n,
+             max(q3 + reach) FILTER (signal = 'word_length') AS high_word, max(q1 - reach) FILTER (signal = 'word_length') AS low_word,
+             max(q3 + reach) FILTER (signal = 'symbols') AS high_symbols, max(q3 + reach) FILTER (signal = 'dup_lines') AS high_dup,
+             max(q3 + reach) FILTER (signal = 'repeats') AS high_repeats
+      FROM h GROUP BY ALL),
+o AS (SELECT a.lang, a.source, CASE WHEN a.n >= 200 THEN 'source' WHEN y.n >= 200 THEN 'language' ELSE 'corpus' END AS scope
+      FROM z a JOIN z y ON y.scope = 'language' AND y.lang = a.lang WHERE a.scope = 'source'),
+v AS (SELECT b.*, o.scope, concat_ws(',',
+               CASE WHEN word_chars * 1000 // n_words NOT BETWEEN low_word AND high_word THEN 'word_length' END,
+               CASE WHEN n_symbols * 1000 // n_words > high_symbols THEN 'symbols' END,
+               CASE WHEN n_dup_lines * 1000 // n_lines > high_dup THEN 'dup_lines' END,
+               CASE WHEN n_repeat_words * 1000 // n_words > high_repeats THEN 'repeats' END) AS reasons,
+             n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+      FROM b LEFT JOIN o ON o.lang = b.lang AND o.source = b.source
+      LEFT JOIN z ON z.scope = o.scope AND (z.lang = b.lang OR o.scope = 'corpus') AND (z.source = b.source OR o.scope <> 'source'))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND reasons = '' AS kept, reasons, scope
+FROM v
+"""
+
+SQL: dict[str, str] = {
+    "op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op5_url_templates": OP5, "op11_quality_rules": OP11,
+}
