@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.durable import cut_lineage
 from . import (
-    bpe, exact_dedup, jaccard_join, license_scan, nn_descent, packing, quality_rules, repeats, secret_scan, toxicity, url_filter,
+    bpe, conversation_repair, exact_dedup, fill_in_middle, jaccard_join, license_scan, nn_descent, packing, quality_rules,
+    repeats, secret_scan, toxicity, url_filter,
 )
 from .common import table
 
@@ -92,3 +94,26 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "reasons", "scope",
     )
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    turns = conversation_repair.damage(original)
+    plans = cut_lineage(conversation_repair.plan_repairs(turns))
+    found = plans.join(conversation_repair.repaired_digests(turns, plans), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return conversation_repair.conversations(original).join(found, "conv", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )

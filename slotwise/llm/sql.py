@@ -160,6 +160,73 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+# crc32 of a short ASCII text, byte by byte and bit by bit.
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, b: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+OP12 = rf"""
+WITH RECURSIVE o AS (SELECT coalesce('=' || conv_id, '') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+                            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+k AS (SELECT *, xor({_CRC32.format("name")}, 4294967295) % 20 AS kind FROM o),
+d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS t,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER w AS i,
+             coalesce(lag(role[1]) OVER w || role[1] NOT IN ('su', 'ua', 'au'), false) AS odd,
+             regexp_extract(t, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail
+      FROM d WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(t))),
+f AS (SELECT *, CASE WHEN tail = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, t ORDER BY i) > 1 THEN 'd' WHEN tail NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n),
+c AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+             count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (odd) AS illegal, count(*) AS n
+      FROM f GROUP BY conv),
+-- Rows inserted before a row: from a state (0 none, 1 system, 2 user, 3 assistant) to a state.
+p(q, p, ins, added) AS (VALUES (0, 0, '', []), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']),
+  (2, 3, 'I', ['assistant:']), (3, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+m AS (SELECT f.conv, f.i, p.q, 2 * len(ins) + cost AS cost, ins || edit AS edits, list_concat(added, line) AS lines, after
+      FROM f, p, LATERAL (
+        SELECT 'D' AS edit, 3 AS cost, p.p AS after, []::VARCHAR[] AS line
+        UNION ALL SELECT 'K', (fault = 't')::INT, CASE role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, [role || ':' || t]
+          WHERE fault NOT IN ('b', 'd') AND (role[1] = 's' AND p.p = 0 OR role[1] = 'u' AND p.p <> 2 OR role[1] = 'a' AND p.p = 2)
+        UNION ALL SELECT 'R', 2 + (fault = 't')::INT, CASE WHEN p.p = 2 THEN 3 ELSE 2 END,
+          [CASE WHEN p.p = 2 THEN 'assistant:' ELSE 'user:' END || t]
+          WHERE fault NOT IN ('b', 'd'))),
+r AS (SELECT conv, 0::BIGINT AS i, 0 AS q, {{'c': 0::BIGINT, 's': '', 'l': []::VARCHAR[]}} AS best FROM c
+      UNION ALL
+      SELECT conv, i, q, best FROM (
+        SELECT m.conv, m.i, m.after AS q, min({{'c': best.c + m.cost, 's': best.s || m.edits, 'l': list_concat(best.l, m.lines)}}) AS best
+        FROM r JOIN m ON m.conv = r.conv AND m.i = r.i + 1 AND m.q = r.q GROUP BY m.conv, m.i, m.after)),
+z AS (SELECT r.conv, min(CASE q WHEN 1 THEN {{'c': best.c + 4, 's': best.s || 'II', 'l': list_concat(best.l, ['user:', 'assistant:'])}}
+                                WHEN 2 THEN {{'c': best.c + 2, 's': best.s || 'I', 'l': list_concat(best.l, ['assistant:'])}}
+                                ELSE best END) AS best
+      FROM r JOIN c ON c.conv = r.conv AND c.n = r.i GROUP BY r.conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.s, '') AS audit,
+       sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM o) o LEFT JOIN c ON c.conv = o.conv LEFT JOIN z ON z.conv = o.conv
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || h[1:8])::UINTEGER AS h1,
+             ('0x' || h[9:16])::UINTEGER AS h2, ('0x' || h[17:24])::UINTEGER AS h3, ('0x' || h[25:32])::UINTEGER AS h4 FROM d),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high FROM u),
+p AS (SELECT *, array_to_string(units[:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle,
+             array_to_string(units[high + 1:], '') AS suffix,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op5_url_templates": OP5, "op11_quality_rules": OP11,
+    "op12_conversation_repair": OP12,
+    "op13_fill_in_middle": OP13,
 }
