@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import at
-from .spread import running_totals
+from .durable import cut_lineage
+from .spread import first_come
 
 # The switch of each kind of notice; kinds that are not named have only the one for all.
 SWITCHES = {
@@ -63,10 +64,11 @@ def promotion_usage(tables) -> DataFrame:
 def promotion_eligibility(tables, claims: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Whether each claim may use its promotion, with the first reason against it.
 
-    Claims: claim_id, promotion_id, user_id, amount, category, claimed_at. Usage is counted before
-    it is joined, per promotion and per promotion and user. Claims count against each other in order
-    of (claimed_at, claim_id): those beyond what is left to their user go first, and of the others
-    those beyond what is left of the promotion, which is what deciding one by one gives.
+    Claims: claim_id (unique), promotion_id, user_id, amount, category, claimed_at. Usage is counted
+    before it is joined, per promotion and per promotion and user. Claims count against each other in
+    order of (claimed_at, claim_id): those beyond what is left to their user go first, and of the others
+    those beyond what is left of the promotion, which is what deciding one by one gives. Only claims of
+    groups that ask for more than what is left are put in order.
     """
     offers = parsed_promotions(tables["promotions"]).select(
         F.col("id").alias("promotion_id"), live(as_of).alias("is_live"), "min_amount", "only_category", "readable",
@@ -87,22 +89,27 @@ def promotion_eligibility(tables, claims: DataFrame, as_of: dt.datetime) -> Data
         .when(F.col("amount") < F.col("min_amount"), "amount too small")
         .when(F.col("category") != F.col("only_category"), "other category")
     )
-    fit = joined.withColumn("unfit", reason).withColumn("pair", F.concat_ws(":", "promotion_id", "user_id")).withColumn(
-        "offer", F.coalesce(F.col("promotion_id").cast("string"), F.lit(""))
-    )
-    counted = lambda condition: F.when(condition, 1).otherwise(0)
-    own_turn = running_totals(fit, "pair", "claimed_at", "claim_id", {"own_turn": counted(F.col("unfit").isNull())})
-    within = F.coalesce(F.col("used_by_user") + F.col("own_turn") <= F.col("usage_limit_per_user"), F.lit(True))
-    turn = running_totals(
-        own_turn.withColumn("within", within), "offer", "claimed_at", "claim_id",
-        {"turn": counted(F.col("unfit").isNull() & F.col("within"))},
+    # Groups under one name each, nulls told apart from texts; room that is null has no end.
+    named = lambda *keys: F.concat_ws(":", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys])
+    judged = cut_lineage(
+        joined.select(
+            "claim_id", "promotion_id", "user_id", "amount", "claimed_at", "discount_rate", reason.alias("unfit"),
+            named("promotion_id", "user_id").alias("pair"), named("promotion_id").alias("offer"),
+            (F.col("usage_limit_per_user") - F.col("used_by_user")).alias("own_room"),
+            (F.col("usage_limit") - F.col("used")).alias("room"),
+        )
     )
+    fit = judged.filter(F.col("unfit").isNull())
+    own_turns = cut_lineage(first_come(fit, "pair", "claimed_at", "claim_id", "own_room").withColumnRenamed("wins", "in_time"))
+    within = F.col("own_room").isNull() | ((F.col("own_room") > 0) & F.coalesce("in_time", F.lit(True)))
+    met = judged.join(own_turns, "claim_id", "left").withColumn("within", F.col("unfit").isNull() & within)
+    turns = first_come(met.filter("within"), "offer", "claimed_at", "claim_id", "room")
     reason = (
         F.when(F.col("unfit").isNotNull(), F.col("unfit"))
         .when(~F.col("within"), "used up by user")
-        .when(F.col("used") + F.col("turn") > F.col("usage_limit"), "used up")
+        .when((F.col("room") <= 0) | ~F.coalesce("wins", F.lit(True)), "used up")
     )
-    return turn.select(
+    return met.join(turns, "claim_id", "left").select(
         "claim_id", "promotion_id", "user_id", reason.isNull().alias("eligible"), reason.alias("reason"),
         F.when(reason.isNull(), F.floor(F.col("amount") * F.col("discount_rate") / 100).cast("long")).alias("discount"),
     )
