@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import at
 from .referrals import referral_counters
-from .spread import join_per_key
 
 # Steps of the booking funnel, in order.
 FUNNEL_STEPS = ("app_open", "search_performed", "shop_viewed", "reservation_created", "payment_completed")
@@ -85,22 +84,49 @@ def moderation_queue(reports: DataFrame) -> DataFrame:
     )
 
 
-def event_funnel(events: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS) -> DataFrame:
-    """Users who did each step after the one before, and the share that got there.
+def funnel_states(events: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS, unit: str = "minute") -> DataFrame:
+    """What the events of a user and time slice do to a walk through ``steps``: (user_id, slice, moves).
+
+    ``moves[s]`` is the number of steps done after the slice by somebody who came to it with ``s`` done. A step is
+    done by the first of its events at or after the step before, so events of one instant are taken in the order
+    of the steps. Slices are short, so one very active user is many groups. Events without a user or a time, or
+    of another kind, are left out.
+    """
+    places = F.array_compact(
+        F.array(*[F.when(F.col("event_type") == step, F.lit(i)) for i, step in enumerate(steps)])
+    )
+    placed = events.filter(F.col("event_type").isin(*steps) & F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select(
+        "user_id", "ts", F.explode(places).alias("place")
+    )
+    in_order = F.array_sort(F.collect_set(F.struct("ts", "place")))
+    return placed.groupBy("user_id", F.date_trunc(unit, "ts").alias("slice")).agg(
+        F.aggregate(
+            in_order, _none_done(steps),
+            lambda done, e: F.transform(done, lambda s: F.when(s == e["place"], s + 1).otherwise(s)),
+        ).alias("moves")
+    )
+
+
+def _none_done(steps: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(i) for i in range(len(steps) + 1)])
+
 
-    A user reaches a step with the first such event at or after reaching the step before. Each
-    step scans its own kind of event; what is carried along is one row per user.
+def merge_funnel_states(states: DataFrame, unit: str, steps: tuple[str, ...] = FUNNEL_STEPS) -> DataFrame:
+    """States of wider slices, such as days, from those of the slices inside, taken one after the other.
+
+    Stored states of earlier days can be merged with new ones; no event is read again.
     """
-    reached: DataFrame | None = None
-    counts: list[Column] = []
-    frames: list[DataFrame] = []
-    for step in steps:
-        own = events.filter(F.col("event_type") == step).select("user_id", "ts")
-        if reached is not None:
-            own = join_per_key(own, reached, "user_id", "ts").filter(F.col("ts") >= F.col("reached_at"))
-        reached = own.groupBy("user_id").agg(F.min("ts").alias("reached_at"))
-        frames.append(reached.agg(F.count(F.lit(1)).alias("n")))
-        counts.append(frames[-1].scalar())
+    ordered = F.array_sort(F.collect_list(F.struct("slice", "moves")))
+    return states.groupBy("user_id", F.date_trunc(unit, "slice").alias("wider")).agg(
+        F.aggregate(ordered, _none_done(steps), lambda done, x: F.transform(done, lambda s: F.get(x["moves"], s))).alias("moves")
+    ).withColumnRenamed("wider", "slice")
+
+
+def funnel_counts(states: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS) -> DataFrame:
+    """Users who did each step, from the states of all slices, whatever their width."""
+    ordered = F.array_sort(F.collect_list(F.struct("slice", "moves")))
+    done = states.groupBy("user_id").agg(F.aggregate(ordered, F.lit(0), lambda s, x: F.get(x["moves"], s)).alias("done"))
+    users = done.agg(*[F.count_if(F.col("done") > i).alias(f"n{i}") for i in range(len(steps))])
     line = F.array(
         *[
             F.struct(
@@ -111,10 +137,15 @@ def event_funnel(events: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS) -> Da
             for i, step in enumerate(steps)
         ]
     )
-    last = frames[-1].select(
-        *[count.alias(f"n{i}") for i, count in enumerate(counts[:-1])], F.col("n").alias(f"n{len(steps) - 1}")
-    )
-    return last.select(F.inline(line))
+    return users.select(F.inline(line))
+
+
+def event_funnel(events: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS) -> DataFrame:
+    """Users who did each step after the one before, and the share that got there, in one scan of the events.
+
+    A user reaches a step with the first such event at or after reaching the step before.
+    """
+    return funnel_counts(funnel_states(events, steps), steps)
 
 
 def retention(reservations: DataFrame) -> DataFrame:
