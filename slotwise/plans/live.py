@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.durable import cut_lineage, shared_folder
-from ..streaming import streams
+from ..streaming import counters, streams
+from .loyalty import COUNTERS
 from .registry import AS_OF, query
 
 NOW = "TIMESTAMP '2001-07-15 12:00:00'"
@@ -43,7 +44,7 @@ def _(t):
     )
     folder = _as_stream(
         t, sent, "ledger", "created_at", _shuffled("id", "again"),
-        lambda stream, at: streams.point_balance_deltas(stream, f"{at}/out", f"{at}/state"),
+        lambda stream, at: streams.point_balance_deltas(stream, f"{at}/out", f"{at}/state", closed=AS_OF),
     )
     return streams.point_balances_at(t.spark, f"{folder}/out", AS_OF)
 
@@ -120,3 +121,83 @@ def _(t):
         lambda stream, at: streams.booking_notifications(stream, t["user_settings"], f"{at}/out", f"{at}/state"),
     )
     return t.spark.read.parquet(f"{folder}/out").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+def _history(df: DataFrame, key: Column, **wrong: Column) -> DataFrame:
+    """``df`` as the end of a history of changes: some rows were wrong at first, some are gone, some changes come twice."""
+    image = lambda k, sign, spoiled: F.struct(
+        F.lit(k).alias("k"), F.lit(sign).alias("sign"), *[(wrong[c] if spoiled and c in wrong else F.col(c)).alias(c) for c in df.columns]
+    )
+    chance = F.crc32(key.cast("string"))
+    images = F.array_compact(
+        F.array(
+            image(0, 1, False),
+            *[F.when(chance % 5 == 0, image(1 + i, sign, True)) for i, sign in enumerate((1, -1))],
+            *[F.when(chance % 7 == 0, image(3 + i, sign, spoiled)) for i, (sign, spoiled) in enumerate(((1, False), (-1, False)))],
+        )
+    )
+    changes = df.select(key.cast("string").alias("name"), F.explode(images).alias("i")).select(
+        F.concat_ws(":", "name", "i.k").alias("change_id"), "i.sign", *[F.col(f"i.{c}").alias(c) for c in df.columns]
+    )
+    return changes.withColumn(
+        "again", F.explode(F.when(F.crc32("change_id") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    ).withColumn("sent_at", F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+def _kept(t, changes: DataFrame, name: str, keep) -> str:
+    folder = _as_stream(
+        t, changes, name, "sent_at", _shuffled("change_id", "again"), lambda stream, at: keep(stream, f"{at}/out", f"{at}/state")
+    )
+    return f"{folder}/out"
+
+
+@query("stream_point_counters", f"""
+SELECT user_id, CAST(COALESCE(SUM(CASE WHEN amount>0 THEN amount END),0) AS BIGINT) AS total_earned,
+  CAST(COALESCE(SUM(CASE WHEN amount<0 THEN -amount END),0) AS BIGINT) AS total_used,
+  CAST(COALESCE(SUM(CASE WHEN status='available' AND (available_from IS NULL OR available_from<={NOW}) AND (expires_at IS NULL OR expires_at>{NOW})
+    THEN amount END),0) AS BIGINT) AS available_balance,
+  CAST(COALESCE(SUM(CASE WHEN status='pending' THEN amount END),0) AS BIGINT) AS pending_balance FROM point_transactions GROUP BY user_id""")
+def _(t):
+    ledger = t["point_transactions"].select("id", "user_id", "amount", "status", "available_from", "expires_at")
+    changes = _history(ledger, F.col("id"), amount=F.col("amount") * 3 + 1, status=F.lit("pending"), user_id=F.col("user_id") + 1)
+    return counters.kept_point_balances(t.spark, _kept(t, changes, "ledger", counters.keep_point_balances), AS_OF)
+
+
+@query("stream_referral_counters", COUNTERS)
+def _(t):
+    came = t["users"].filter(F.col("referred_by_code").isNotNull()).select(F.col("id").alias("user_id"), F.col("referred_by_code").alias("code"))
+    users = _history(came, F.concat(F.lit("U"), F.col("user_id")), code=F.reverse("code")).withColumn("paid", F.lit(False))
+    done = t["payments"].select("id", "user_id", (F.col("payment_status") == "fully_paid").alias("paid"))
+    payments = _history(done, F.col("id"), paid=~F.col("paid")).drop("id").withColumn("code", F.lit(None).cast("string"))
+    target = _kept(t, users.unionByName(payments), "referrals", counters.keep_referrals)
+    return counters.referrals_now(t.spark, target, t["users"])
+
+
+@query("stream_shop_bookings", """
+SELECT s.id AS shop_id, COALESCE(r.n,0) AS total_bookings FROM shops s LEFT JOIN (SELECT shop_id, COUNT(*) AS n FROM reservations GROUP BY 1) r ON r.shop_id=s.id""")
+def _(t):
+    changes = _history(t["reservations"].select("id", "shop_id"), F.col("id"), shop_id=F.col("shop_id") + 1)
+    return counters.shop_bookings_now(t.spark, _kept(t, changes, "bookings", counters.keep_shop_bookings), t["shops"])
+
+
+@query("stream_batch_totals", """
+SELECT period_start_date, CAST(SUM(gross_revenue) AS BIGINT) AS total_revenue, CAST(SUM(commission_amount) AS BIGINT) AS total_commission,
+  CAST(SUM(net_settlement_amount) AS BIGINT) AS total_settlement_amount, COUNT(*) AS shop_count
+FROM shop_settlements GROUP BY period_start_date""")
+def _(t):
+    rows = t["shop_settlements"].select("id", "period_start_date", "gross_revenue", "commission_amount", "net_settlement_amount")
+    changes = _history(
+        rows, F.col("id"), period_start_date=F.date_add("period_start_date", 1), gross_revenue=F.col("gross_revenue") + 5
+    )
+    return counters.batch_totals_now(t.spark, _kept(t, changes, "totals", counters.keep_batch_totals))
+
+
+@query("stream_promotion_uses", """
+SELECT p.id AS promotion_id, COALESCE(u.n,0) AS current_usage FROM promotions p LEFT JOIN (SELECT promotion_id, COUNT(*) AS n FROM promotion_usages GROUP BY 1) u ON u.promotion_id=p.id""")
+def _(t):
+    # Usages have no key of their own; equal ones are told apart by their place among them.
+    same = Window.partitionBy("promotion_id", "user_id", "used_at").orderBy(F.lit(1))
+    rows = t["promotion_usages"].select("promotion_id", "user_id", "used_at").withColumn("place", F.row_number().over(same))
+    key = F.concat_ws(":", "promotion_id", "user_id", "used_at", "place")
+    changes = _history(rows, key, promotion_id=F.col("promotion_id") + 1).drop("user_id", "used_at", "place")
+    return counters.promotion_uses_now(t.spark, _kept(t, changes, "uses", counters.keep_promotion_uses), t["promotions"])

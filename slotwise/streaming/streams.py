@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.clock import at
 from ..operators.booking import CANCELLED_NOTICE, CONFIRMED_NOTICE
+from .deltas import Levels
 
 # Reservation states a state may change to; "" is a new reservation.
 TRANSITIONS = {
@@ -34,68 +35,96 @@ def arriving(spark: SparkSession, folder: str, schema: StructType, moment: str,
     return reader.parquet(folder).withColumn(moment, F.col(moment).cast("timestamp"))
 
 
-def _per_batch(target: str):
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+def start(writer, checkpoint: str) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return write
 
+LEDGER_KEYS = "user_id LONG, moment TIMESTAMP_NTZ"
+LEDGER_SUMS = "n LONG, total LONG, earned LONG, used LONG, pending LONG, usable LONG"
 
-def _start(writer, checkpoint: str) -> StreamingQuery:
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def ledger_deltas(ledger: DataFrame, sign: Column | None = None, closed: dt.datetime | None = None) -> DataFrame:
+    """Ledger rows as changes of their user's sums, each with the moment from which it counts.
+
+    Usable points are a difference array over time: plus where a row becomes usable, minus where it ends, so the
+    balance at any moment is the sum of what lies before. What holds always has no moment. Moments up to
+    ``closed`` are put there, too, where nobody will ask for a balance before that: per user one row is left for
+    all that is over, and one for each moment to come.
+    """
+    amount, sign = F.coalesce("amount", F.lit(0)), F.lit(1) if sign is None else sign
+    begins, ends, available = F.col("available_from"), F.col("expires_at"), F.col("status") == "available"
+    counts = available & (begins.isNull() | ends.isNull() | (begins < ends))
+    none = F.lit(0).cast("long")
+
+    def change(moment: Column, usable: Column, **sums: Column) -> Column:
+        if closed is not None:
+            moment = F.when(moment > at(closed), moment)
+        columns = {name: sums.get(name, none) for name in ("n", "total", "earned", "used", "pending")} | {"usable": usable}
+        return F.struct(
+            moment.cast("timestamp_ntz").alias("moment"),
+            *[(F.coalesce(c, none) * sign).cast("long").alias(name) for name, c in columns.items()],
+        )
+
+    gained = F.when(amount > 0, amount)
+    changes = F.array(
+        change(
+            F.lit(None), F.when(counts & begins.isNull(), amount), n=F.lit(1), total=F.when(available, gained), earned=gained,
+            used=F.when(amount < 0, -amount), pending=F.when(F.col("status") == "pending", amount),
+        ),
+        F.when(counts & begins.isNotNull(), change(begins, amount)),
+        F.when(counts & ends.isNotNull(), change(ends, -amount)),
+    )
+    return ledger.select("user_id", F.inline(F.array_compact(changes)))
+
+
+def usable_sum(as_of: dt.datetime) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("moment").isNull() | (F.col("moment") <= at(as_of)), F.col("usable"))), F.lit(0))
 
 
-def point_balance_deltas(ledger: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Sums of arriving ledger rows per user, state and period of validity.
+def point_balance_deltas(ledger: DataFrame, target: str, checkpoint: str, closed: dt.datetime | None = None) -> StreamingQuery:
+    """Point sums of each user from arriving ledger rows, kept in levels of deltas.
 
-    Whether points count depends on the time of asking, so sums keep the start and end of their
-    validity instead of a balance. This is money: a row counts however late it comes, and one sent
-    again never counts twice, so all ids are kept as state, spread by id in the state store.
+    This is money: a row counts however late it comes, and one sent again never counts twice, so all ids are kept
+    as state, spread by id in the state store. With ``closed`` no balance before that moment can be asked for.
     """
+    levels = Levels(ledger.sparkSession, target, LEDGER_KEYS, LEDGER_SUMS)
 
     def write(batch: DataFrame, number: int) -> None:
-        sums = batch.groupBy("user_id", "status", "available_from", "expires_at").agg(
-            F.sum("amount").alias("amount"),
-            F.coalesce(F.sum(F.when(F.col("amount") > 0, F.col("amount"))), F.lit(0)).alias("earned"),
-        )
-        _per_batch(target)(sums, number)
+        levels.write(ledger_deltas(batch, closed=closed), number)
 
-    return _start(ledger.dropDuplicates(["id"]).writeStream.foreachBatch(write), checkpoint)
+    return start(ledger.dropDuplicates(["id"]).writeStream.foreachBatch(write), checkpoint)
 
 
 def point_balances_at(spark: SparkSession, target: str, as_of: dt.datetime) -> DataFrame:
-    """Total and usable points of each user from the kept sums."""
-    now = at(as_of)
-    usable = (
-        (F.col("status") == "available")
-        & (F.col("available_from").isNull() | (F.col("available_from") <= now))
-        & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
-    )
-    return spark.read.parquet(target).groupBy("user_id").agg(
-        F.coalesce(F.sum(F.when(F.col("status") == "available", F.col("earned"))), F.lit(0)).alias("total_points"),
-        F.coalesce(F.sum(F.when(usable, F.col("amount"))), F.lit(0)).alias("available_points"),
+    """Total and usable points of each user at a moment, from the kept sums."""
+    return (
+        Levels(spark, target, LEDGER_KEYS, LEDGER_SUMS).read().groupBy("user_id")
+        .agg(F.sum("total").alias("total_points"), usable_sum(as_of).alias("available_points"), F.sum("n").alias("n"))
+        .filter("n > 0").drop("n")
     )
 
 
+EVENT_KEYS = "hour TIMESTAMP, event_type STRING"
+EVENT_SUMS = "events LONG, value DOUBLE"
+
+
 def event_counts(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Events per kind and hour, late ones included.
+    """Events per kind and hour, late ones included, kept in levels of deltas.
 
-    No window is ever closed: the state is a row per hour and kind, some ten thousand a year.
+    No window is open or closed and the stream has no state: what a batch counted is added once.
     """
-    counted = (
-        events.groupBy(F.window("ts", "1 hour"), "event_type")
-        .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
-        .select(F.col("window.start").alias("hour"), "event_type", "events", "value")
-    )
-    return _start(counted.writeStream.outputMode("update").foreachBatch(_per_batch(target)), checkpoint)
+    levels = Levels(events.sparkSession, target, EVENT_KEYS, EVENT_SUMS)
+
+    def write(batch: DataFrame, number: int) -> None:
+        levels.write(batch.select(F.date_trunc("hour", "ts").alias("hour"), "event_type", F.lit(1).alias("events"), "value"), number)
+
+    return start(events.writeStream.foreachBatch(write), checkpoint)
 
 
 def event_counts_now(spark: SparkSession, target: str) -> DataFrame:
-    """The last count of every hour and kind."""
-    return (
-        spark.read.parquet(target).groupBy("hour", "event_type")
-        .agg(F.max_by(F.struct("events", "value"), "batch").alias("x"))
-        .select("hour", "event_type", "x.events", "x.value")
+    """The count of every hour and kind."""
+    return Levels(spark, target, EVENT_KEYS, EVENT_SUMS).read().groupBy("hour", "event_type").agg(
+        F.sum("events").alias("events"), F.sum("value").alias("value")
     )
 
 
@@ -125,7 +154,7 @@ def status_log(changes: DataFrame, target: str, checkpoint: str) -> StreamingQue
         judged.unpersist()
         _remove(spark, f"{target}/open/batch={number - 2}")
 
-    return _start(changes.writeStream.foreachBatch(write), checkpoint)
+    return start(changes.writeStream.foreachBatch(write), checkpoint)
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
@@ -200,4 +229,4 @@ def booking_notifications(
             "created_at",
         )
     )
-    return _start(notices.writeStream.format("parquet").option("path", target).outputMode("append"), checkpoint)
+    return start(notices.writeStream.format("parquet").option("path", target).outputMode("append"), checkpoint)
