@@ -40,13 +40,13 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), dtype="<u4")
 
 
-def _grams(text: str):
+def _grams(lowered: str):
     """(first character of each word, for each size the positions and buckets of its n-grams, code points) of lower-cased text.
 
-    An n-gram may begin or end with the space around its word but holds none inside. The code points,
-    the spaces around the text included, can be more than those of the text: some letters have two in lower case.
+    Places and code points count one space before the text and one after it. An n-gram may begin or end
+    with the space around its word but holds none inside.
     """
-    points = _code_points(" " + text.lower() + " ")
+    points = _code_points(" " + lowered + " ")
     space = (points == 32) | ((points >= 9) & (points <= 13))
     points = np.where(space, np.uint32(32), points)
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
@@ -66,7 +66,7 @@ def _grams(text: str):
 
 def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """(bucket of each n-gram, number of its word, count of words) of a whole text."""
-    starts, grams, _ = _grams(text)
+    starts, grams, _ = _grams(text.lower())
     if not len(starts):
         return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), 0
     at = np.concatenate([g[0] for g in grams])
@@ -74,17 +74,17 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate([g[1] for g in grams]), owners, len(starts)
 
 
-def _word_values(weights: np.ndarray, text: str) -> np.ndarray:
-    """Each word's mean weight over its n-grams."""
-    starts, grams, points = _grams(text)
+def _word_values(weights: np.ndarray, lowered: str) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's mean weight over its n-grams, and the place of its first character."""
+    starts, grams, points = _grams(lowered)
     if not len(starts):
-        return np.zeros(0)
+        return np.zeros(0), starts
     sums, counts = np.zeros(points), np.zeros(points)
     for at, buckets in grams:
         sums[at] += weights[buckets]  # a size has one n-gram at a place
         counts[at] += 1
     # A word's n-grams begin between the space before it and its last character.
-    return np.add.reduceat(sums, starts - 1) / np.maximum(np.add.reduceat(counts, starts - 1), 1)
+    return np.add.reduceat(sums, starts - 1) / np.maximum(np.add.reduceat(counts, starts - 1), 1), starts
 
 
 def _stretches(words: int) -> np.ndarray:
@@ -111,13 +111,11 @@ class Model:
     bias: float
 
     def score_all(self, texts: list[str]) -> np.ndarray:
-        # Words of many texts at once; each text is read on its own, with spaces around it.
-        values = _word_values(self.weights, " ".join(texts))
-        counts = [len(t.split()) for t in texts] if len(texts) > 1 else [len(values)]
-        ends = np.cumsum(counts)
-        if len(values) != ends[-1]:  # other white space than ASCII's: word by word then
-            return np.concatenate([self.score_all([t]) for t in texts])
-        logits = np.array([stretch_logits(values[e - c : e], self.bias).max() for c, e in zip(counts, ends.tolist())])
+        # Words of many texts at once, with a space between two texts; a word is its text's by its place.
+        lowered = [t.lower() for t in texts]
+        values, starts = _word_values(self.weights, " ".join(lowered))
+        ends = np.searchsorted(starts, 1 + np.cumsum([len(t) + 1 for t in lowered])).tolist()
+        logits = np.array([stretch_logits(values[a:b], self.bias).max() for a, b in zip([0, *ends[:-1]], ends)])
         return 1.0 / (1.0 + np.exp(-np.clip(logits, -40, 40)))
 
     def score(self, text: str) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -45,6 +46,37 @@ def test_scores_do_not_depend_on_the_batch(documents):
         assert 0 <= got[i] <= 1
 
 
+def naive_score(model, text):
+    """Word by word, n-gram by n-gram."""
+    values = []
+    for word in (w for w in re.split("[ \t\n\x0b\x0c\r]+", text.lower()) if w):
+        codes = [ord(c) for c in f" {word} "]
+        found = []
+        for n in (3, 4, 5, 6):
+            for i in range(len(codes) - n + 1):
+                h = codes[i] + 1
+                for c in codes[i + 1 : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                found.append(float(model.weights[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 14]))
+        values.append(sum(found) / len(found))
+    logits = [sum(values[i : i + X.SPAN]) / X.SPAN + model.bias for i in range(0, max(1, len(values) - X.STEP), X.STEP)]
+    return 1 / (1 + math.exp(-max(logits))) if values else 1 / (1 + math.exp(-model.bias))
+
+
+def test_scores_against_a_naive_scorer_over_spaces_of_all_kinds(documents):
+    """Texts whose words would make up for each other if counted by another rule than the model's."""
+    r = random.Random(5)
+    model = X.Model(np.random.default_rng(4).normal(size=X.BUCKETS).astype(np.float32), -0.5)
+    texts = ["a \xa0 b", "x\xa0y zz", "\x1c\x1d a", "\x85", "q\x85w\u2003e", " ", "\xa0", "İ a", None]
+    pieces = ["ab", "Wörd", "x", "İ", " ", "  ", "\xa0", "\u3000", "\t", "\n", "\x0b", "\x1f", "\u2028", "\x85"]
+    texts += ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(400)]
+    batch = model.score_all([t or "" for t in texts])
+    got = {x.id: x.score for x in X.score_toxicity(documents(*texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == batch[i] == model.score(t or "")
+        assert math.isclose(got[i], naive_score(model, t or ""), abs_tol=1e-6)
+
+
 def test_letters_that_grow_in_lower_case(documents):
     texts = ["İİİ İstanbul word", "İ" * 50 + " blockhead", "plain", None, "İyi günler İzmir İyi word"]
     model = X.Model(np.random.default_rng(3).normal(size=X.BUCKETS).astype(np.float32), -0.5)
