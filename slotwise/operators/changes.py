@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import at
 from ..sources import model
 from .durable import cut_lineage
+from .spread import join_per_key
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], seq: str, as_of: dt.datetime | None = None) -> DataFrame:
@@ -52,58 +54,122 @@ def apply_defaults(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
+def _references(tables, table: str, action: str) -> list[tuple[str, str]]:
+    """(column, parent) of a table's declared references with that action, of the columns that are there."""
+    return [
+        (column, parent)
+        for (child, column), (parent, what) in model.REFERENCES.items()
+        if child == table and what == action and child in tables and column in tables[child].columns
+    ]
+
+
+def _owned(tables, table: str, extra: list[str]) -> DataFrame | None:
+    """Rows of a table with the account they go with (``owner``, found along cascades), or None if with no account."""
+    found = None
+    for column, parent in _references(tables, table, "cascade"):
+        if parent == "users":
+            own = tables[table].select(F.col(column).alias("owner"), *extra)
+        else:
+            above = _owned(tables, parent, ["id"]) if parent in tables else None
+            if above is None:
+                continue
+            above = above.withColumnRenamed("id", "__parent")
+            own = tables[table].join(above, F.col(column) == F.col("__parent"), "left").select("owner", *extra)
+        if found is not None:
+            raise ValueError(f"{table} goes with accounts in more than one way")
+        found = own
+    return found
+
+
+def _holds(tables, wanted: DataFrame) -> DataFrame:
+    """(owner, id): a row that goes with ``owner`` names the account ``id``; owner is null where the row stays for certain."""
+    links = None
+    for table, column in model.HOLDERS:
+        if table not in tables or column not in tables[table].columns:
+            continue
+        owned = _owned(tables, table, [column])
+        if owned is None:
+            owned = tables[table].select(F.lit(None).alias("owner"), column)
+        own = owned.select(F.col("owner").cast(wanted.schema["id"].dataType).alias("owner"), F.col(column).alias("id"))
+        own = own.filter(F.col("id").isNotNull() & ~F.col("owner").eqNullSafe(F.col("id"))).distinct()
+        links = own if links is None else links.unionByName(own)
+    asked = wanted.select(F.col("id").alias("owner"), F.lit(True).alias("asked"))
+    # Whoever did not ask to go stays, and so do the rows.
+    return links.join(wanted, "id", "left_semi").join(asked, "owner", "left").select(
+        F.when(F.col("asked"), F.col("owner")).alias("owner"), "id"
+    ).distinct()
+
+
+def held_accounts(holds: DataFrame) -> DataFrame:
+    """Ids that a row without an owner holds, or one whose owner is held.
+
+    Links are shortened at both ends: one whose owner is held itself holds for certain, and one whose owner has a
+    single holder is handed to that one, so a chain of accounts is halved in every round. A link whose owner nobody
+    holds is dropped. It ends when a round holds nobody new. Links get fewer, never more; each round is written.
+    """
+    links, before = cut_lineage(holds), -1
+    while True:
+        held = links.filter(F.col("owner").isNull()).select("id").distinct()
+        now = held.count()
+        if now == before:
+            return held
+        before = now
+        into = links.groupBy(F.col("id").alias("over")).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("owner").isNull()).alias("certain"), F.min("owner").alias("single")
+        )
+        followed = join_per_key(links.withColumnRenamed("owner", "over"), into, "over", "id", "left").select(
+            "id",
+            F.when(~F.col("certain"), F.when(F.col("n") == 1, F.col("single")).otherwise(F.col("over"))).alias("owner"),
+            (F.col("over").isNull() | F.col("n").isNotNull()).alias("goes_on"),
+        )
+        links = cut_lineage(
+            followed.filter(F.col("goes_on") & ~F.col("owner").eqNullSafe(F.col("id"))).select("owner", "id").distinct()
+        )
+
+
+def _without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select(F.col("id").alias(column)), column, "left_anti")
+
+
 def erase_users(tables, requested: DataFrame) -> dict[str, DataFrame]:
-    """Delete accounts, as one statement over all of them.
+    """Delete accounts, as one statement over all of them, along the declared references.
 
-    Rows owned by an account go with it, shops lose their owner, and an account stays if a point
-    row of somebody who stays refers to it, or an audit row names it. Whoever stays may hold
-    others back, so blocking is repeated until nobody is added; every round works on the keys
-    only and is written out, so a lost executor costs one round.
+    Rows go with the account or row that they cascade from, columns that are set to NULL lose what is gone, and an
+    account stays if a row that stays names it in one of ``model.HOLDERS``. Whoever stays may hold others back. Tables
+    and columns that are not there are left out. Returns ``erased``, ``blocked``, and every table that loses something.
     """
-    links = (
-        tables["point_transactions"].filter(F.col("related_user_id").isNotNull())
-        .select(F.col("user_id").alias("owner"), F.col("related_user_id").alias("id"))
-        .filter(F.col("owner") != F.col("id"))
-        .distinct()
-    )
-    wanted = requested.select("id").distinct()
-    links = cut_lineage(links.join(wanted, "id", "left_semi"))
-    erased = wanted
-    if "admin_actions" in tables:
-        erased = erased.join(tables["admin_actions"].select(F.col("admin_id").alias("id")), "id", "left_anti")
-    erased = cut_lineage(erased)
-    while True:
-        held = links.join(erased.select(F.col("id").alias("owner")), "owner", "left_anti").select("id").distinct()
-        held = held.join(erased, "id", "left_semi")
-        if held.isEmpty():
-            break
-        erased = cut_lineage(erased.join(held, "id", "left_anti"))
-
-    def without(table: str, column: str, gone: DataFrame) -> DataFrame:
-        key = gone.select(F.col("id").alias(column))
-        return tables[table].join(key, column, "left_anti")
-
-    bookings_gone = tables["reservations"].join(
-        erased.select(F.col("id").alias("user_id")), "user_id", "left_semi"
-    ).select("id")
-    lost = bookings_gone.select(F.col("id").alias("reservation_id"), F.lit(True).alias("lost"))
-    owner_gone = erased.select(F.col("id").alias("owner_id"), F.lit(True).alias("gone"))
+    wanted = requested.select("id").filter(F.col("id").isNotNull()).distinct()
+    erased = cut_lineage(wanted.join(held_accounts(_holds(tables, wanted)), "id", "left_anti"))
+    gone: dict[str, DataFrame | None] = {"users": erased}
+
+    def gone_from(table: str) -> DataFrame | None:
+        """Ids of the rows of a table that go, None if none can."""
+        if table not in gone:
+            parts = [
+                tables[table].join(gone_from(parent).select(F.col("id").alias(column)), column, "left_semi").select("id")
+                for column, parent in _references(tables, table, "cascade")
+                if gone_from(parent) is not None
+            ]
+            gone[table] = reduce(DataFrame.unionByName, parts).distinct() if parts else None
+        return gone[table]
+
     result = {
         "erased": erased,
-        "blocked": requested.select("id").distinct().join(erased, "id", "left_anti"),
-        "users": tables["users"].join(erased, "id", "left_anti"),
-        "shops": tables["shops"].join(owner_gone, "owner_id", "left")
-        .withColumn("owner_id", F.when(F.col("gone").isNull(), F.col("owner_id"))).drop("gone"),
-        "reservations": without("reservations", "user_id", erased),
-        "payments": without("payments", "user_id", erased).join(
-            bookings_gone.select(F.col("id").alias("reservation_id")), "reservation_id", "left_anti"
-        ),
-        "reservation_services": without("reservation_services", "reservation_id", bookings_gone),
-        "point_transactions": without("point_transactions", "user_id", erased)
-        .join(lost, "reservation_id", "left")
-        .withColumn("reservation_id", F.when(F.col("lost").isNull(), F.col("reservation_id"))).drop("lost"),
+        "blocked": wanted.join(erased, "id", "left_anti"),
+        "users": _without(tables["users"], "id", erased),
     }
-    for table in ("user_settings", "user_favorites", "notifications", "push_tokens"):
-        if table in tables:
-            result[table] = without(table, "user_id", erased)
+    for table in {child: None for child, _ in model.REFERENCES if child in tables}:
+        left, touched = tables[table], False
+        for column, parent in _references(tables, table, "cascade"):
+            if gone_from(parent) is not None:
+                left, touched = _without(left, column, gone_from(parent)), True
+        for column, parent in _references(tables, table, "set_null"):
+            if gone_from(parent) is not None:
+                lost = gone_from(parent).select(F.col("id").alias(column), F.lit(True).alias("__lost"))
+                columns = left.columns
+                left, touched = left.join(lost, column, "left").withColumn(
+                    column, F.when(F.col("__lost").isNull(), F.col(column))
+                ).select(*columns), True
+        if touched:
+            result[table] = left
     return result

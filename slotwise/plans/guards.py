@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import changes, quality, visibility
 from ..sources import model
@@ -271,25 +273,21 @@ def _(t):
     return changes.apply_defaults(some, "user_settings")
 
 
-def _erase_sql(rounds: int = 6) -> str:
-    """Blocking unrolled: more rounds than the referral chains of the sample are long."""
-    parts = [
-        "asked AS (SELECT id FROM users WHERE user_status='deleted')",
-        "links AS (SELECT DISTINCT user_id AS owner, related_user_id AS id FROM point_transactions WHERE related_user_id IS NOT NULL AND user_id<>related_user_id)",
-        "e0 AS (SELECT id FROM asked)",
-    ]
-    for i in range(rounds):
-        parts.append(
-            f"e{i + 1} AS (SELECT id FROM e{i} WHERE id NOT IN (SELECT l.id FROM links l WHERE l.owner NOT IN (SELECT id FROM e{i})))"
-        )
-    return "WITH " + ", ".join(parts) + f", erased AS (SELECT id FROM e{rounds}) "
+# Rows that name an account: points by the friend they were earned with, actions by who did them. An account that asked
+# to go is held where such a row belongs to somebody who did not ask, or who is held.
+_ERASE = """WITH RECURSIVE asked AS (SELECT id FROM users WHERE user_status='deleted'),
+links AS (SELECT DISTINCT user_id AS owner, related_user_id AS id FROM point_transactions WHERE related_user_id IS NOT NULL AND user_id<>related_user_id
+  UNION SELECT r.user_id, a.performed_by FROM reservation_actions a JOIN reservations r ON r.id=a.reservation_id WHERE r.user_id<>a.performed_by),
+held AS (SELECT l.id FROM links l JOIN asked ON asked.id=l.id WHERE l.owner NOT IN (SELECT id FROM asked)
+  UNION SELECT l.id FROM held h JOIN links l ON l.owner=h.id JOIN asked ON asked.id=l.id),
+erased AS (SELECT id FROM asked WHERE id NOT IN (SELECT id FROM held)) """
 
 
 def _erase(t):
     return changes.erase_users(t, t["users"].filter(F.col("user_status") == "deleted").select("id"))
 
 
-@query("erase_users", _erase_sql() + "SELECT id, 'erased' AS outcome FROM erased UNION ALL SELECT id, 'blocked' FROM asked WHERE id NOT IN (SELECT id FROM erased)")
+@query("erase_users", _ERASE + "SELECT id, 'erased' AS outcome FROM erased UNION ALL SELECT id, 'blocked' FROM asked WHERE id NOT IN (SELECT id FROM erased)")
 def _(t):
     result = _erase(t)
     return result["erased"].withColumn("outcome", F.lit("erased")).unionByName(
@@ -297,13 +295,40 @@ def _(t):
     )
 
 
-@query("erase_users_ledger", _erase_sql() + """SELECT p.id, p.user_id, CASE WHEN r.user_id NOT IN (SELECT id FROM erased) THEN p.reservation_id END AS reservation_id
+@query("erase_users_ledger", _ERASE + """SELECT p.id, p.user_id, CASE WHEN r.user_id NOT IN (SELECT id FROM erased) THEN p.reservation_id END AS reservation_id
 FROM point_transactions p LEFT JOIN reservations r ON r.id=p.reservation_id WHERE p.user_id NOT IN (SELECT id FROM erased)""")
 def _(t):
     return _erase(t)["point_transactions"].select("id", "user_id", "reservation_id")
 
 
-@query("erase_users_payments", _erase_sql() + """SELECT p.id, p.user_id, p.amount FROM payments p JOIN reservations r ON r.id=p.reservation_id
+@query("erase_users_payments", _ERASE + """SELECT p.id, p.user_id, p.amount FROM payments p JOIN reservations r ON r.id=p.reservation_id
 WHERE r.user_id NOT IN (SELECT id FROM erased) AND p.user_id NOT IN (SELECT id FROM erased)""")
 def _(t):
     return _erase(t)["payments"].select("id", "user_id", "amount")
+
+
+_GONE_BOOKINGS = "(SELECT id FROM reservations WHERE user_id IN (SELECT id FROM erased))"
+
+
+@query("erase_users_counts", _ERASE + f"""
+SELECT 'users' AS table_name, COUNT(*) AS rows_left FROM users WHERE id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'shops with an owner', COUNT(*) FROM shops WHERE owner_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'reservations', COUNT(*) FROM reservations WHERE user_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'reservation_services', COUNT(*) FROM reservation_services WHERE reservation_id NOT IN {_GONE_BOOKINGS}
+UNION ALL SELECT 'reservation_actions', COUNT(*) FROM reservation_actions WHERE reservation_id NOT IN {_GONE_BOOKINGS}
+UNION ALL SELECT 'payments', COUNT(*) FROM payments WHERE reservation_id NOT IN {_GONE_BOOKINGS} AND user_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'point_transactions', COUNT(*) FROM point_transactions WHERE user_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'user_settings', COUNT(*) FROM user_settings WHERE user_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'user_favorites', COUNT(*) FROM user_favorites WHERE user_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'notifications', COUNT(*) FROM notifications WHERE user_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'push_tokens', COUNT(*) FROM push_tokens WHERE user_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'content_reports', COUNT(*) FROM content_reports WHERE reporter_id NOT IN (SELECT id FROM erased)
+UNION ALL SELECT 'shop_applications', COUNT(*) FROM shop_applications WHERE applicant_id NOT IN (SELECT id FROM erased)""")
+def _(t):
+    result = _erase(t)
+    counts = []
+    for name in sorted(set(result) - {"erased", "blocked"}):
+        left = result[name].filter(F.col("owner_id").isNotNull()) if name == "shops" else result[name]
+        label = "shops with an owner" if name == "shops" else name
+        counts.append(left.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(label).alias("table_name"), "rows_left"))
+    return reduce(DataFrame.unionByName, counts)

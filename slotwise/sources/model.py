@@ -133,6 +133,15 @@ REFERENCES: dict[tuple[str, str], tuple[str, str]] = {
     ("shop_notification_settings", "shop_id"): ("shops", "cascade"),
 }
 
+# References to accounts that say nothing of deletion: a row that stays holds the account it names back.
+HOLDERS: tuple[tuple[str, str], ...] = (
+    ("point_transactions", "related_user_id"), ("content_reports", "reviewed_by"), ("admin_actions", "admin_id"),
+    ("system_settings", "created_by"), ("system_settings", "updated_by"), ("app_configs", "created_by"), ("app_configs", "updated_by"),
+    ("promotions", "created_by"), ("promotions", "updated_by"), ("settlement_batches", "created_by"),
+    ("settlement_schedules", "created_by"), ("settlement_transfers", "approved_by"), ("settlement_logs", "performed_by"),
+    ("announcements", "created_by"), ("shop_applications", "reviewed_by"), ("reservation_actions", "performed_by"),
+)
+
 # Defaults that a row takes where the column was left out.
 DEFAULTS: dict[str, dict[str, object]] = {
     "users": {
