@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,54 @@ def test_every_sampled_table_with_declared_checks_is_checked(spark):
     names = {(r.table_name, r.check_name, r.columns) for r in QUERIES["key_violations_other"].run(spark, "/root/testdata/sf0.001").collect()}
     assert ("payments", "unique", "id") in names and ("point_transactions", "reference", "related_user_id") in names
     assert ("shop_services", "not_null", "name") in names and ("shop_settlements", "reference", "shop_id") in names
+
+
+def brute_held(links):
+    held = {i for o, i in links if o is None}
+    while True:
+        more = {i for o, i in links if o in held} - held
+        if not more:
+            return held
+        held |= more
+
+
+def test_held_accounts_along_long_chains_cycles_and_branches(spark, monkeypatch):
+    r = random.Random(3)
+    written = []
+    original = changes.cut_lineage
+    monkeypatch.setattr(changes, "cut_lineage", lambda df: written.append(1) or original(df))
+    chain = [(None, 0)] + [(i, i + 1) for i in range(200)]
+    cycles = [(1000, 1001), (1001, 1002), (1002, 1000), (2000, 2001), (2001, 2000), (1002, 1500)]
+    branches = [(3000 + r.randrange(40), 3000 + r.randrange(40)) for _ in range(50)] + [(None, 3007), (3500, 3001)]
+    ladder = [(x, y) for i in range(0, 12, 2) for x in (4000 + i, 4001 + i) for y in (4002 + i, 4003 + i)] + [(None, 4000)]
+    for links, most in ((chain, 10), (cycles, 2), (branches, 12), (ladder, 9), (chain + cycles + branches + ladder, 12), ([], 2)):
+        links = [(o, i) for o, i in links if o != i]
+        written.clear()
+        got = changes.held_accounts(spark.createDataFrame(links, "owner LONG, id LONG"))
+        assert {x.id for x in got.collect()} == brute_held(links)
+        assert len(written) <= most
+
+
+def test_erasing_reaches_every_declared_table(spark, tables):
+    """Accounts 1 to 3 ask to go; 2 reviewed an application of 9, who stays; 3 acted on a booking of 1, which goes."""
+    one = lambda column: ([(1, 1), (2, 2), (9, 9)], f"id LONG, {column} LONG")
+    t = tables(
+        users=([(1,), (2,), (3,), (9,)], "id LONG"),
+        reservations=([(10, 1, 50), (90, 9, 50)], "id LONG, user_id LONG, shop_id LONG"),
+        reservation_actions=([("a", 10, 3), ("b", 90, 9)], "id STRING, reservation_id LONG, performed_by LONG"),
+        shop_applications=([(1, 1, None), (2, 9, 2)], "id LONG, applicant_id LONG, reviewed_by LONG"),
+        content_reports=([(1, 1, None), (2, 9, 9)], "id LONG, reporter_id LONG, reviewed_by LONG"),
+        point_balances=([(1,), (9,)], "user_id LONG"),
+        settlement_details=([(1, 10), (2, 90)], "id LONG, reservation_id LONG"),
+        user_settings=one("user_id"), user_favorites=one("user_id"), notifications=one("user_id"), push_tokens=one("user_id"),
+        announcements=([(1, 9), (2, None)], "id LONG, created_by LONG"),
+        shops=([(50, 1), (51, 9)], "id LONG, owner_id LONG"),
+    )
+    got = changes.erase_users(t, spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "id LONG"))
+    assert rows(got["erased"]) == [(1,), (3,)] and rows(got["blocked"]) == [(2,)]
+    assert {n: [x[0] for x in rows(got[n])] for n in set(got) - {"erased", "blocked", "shops"}} == {
+        "users": [2, 9], "reservations": [90], "reservation_actions": [90], "shop_applications": [9], "content_reports": [9],
+        "point_balances": [9], "settlement_details": [90], "user_settings": [2, 9], "user_favorites": [2, 9],
+        "notifications": [2, 9], "push_tokens": [2, 9],
+    }
+    assert rows(got["shops"].select("id", "owner_id")) == [(50, None), (51, 9)]
