@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, outreach
+from ..operators import analytics, documents, outreach
 from .registry import AS_OF, query
 
 NOW = "TIMESTAMP '2001-07-15 12:00:00'"
@@ -149,6 +149,45 @@ def _(t):
     return outreach.event_properties(t["app_events"])
 
 
+# What the documents of the sample say, told from the numbers that they were written from.
+@query("json_payments", """
+SELECT id, CASE reservation_id%7 WHEN 0 THEN 'toss' WHEN 1 THEN 'kakao' WHEN 2 THEN 'naver' WHEN 3 THEN 'card' END AS provider,
+  CASE reservation_id%7 WHEN 0 THEN 'visa' WHEN 1 THEN 'master' END AS card_brand, CASE reservation_id%7 WHEN 0 THEN 3 WHEN 1 THEN 6 END AS installments,
+  CASE WHEN reservation_id%7=2 THEN amount//100 END AS points_used,
+  CASE reservation_id%7 WHEN 0 THEN amount//100+30 WHEN 2 THEN amount//100 END AS fee_total, reservation_id%7<>4 AS readable FROM payments""")
+def _(t):
+    return documents.payment_details(t["payment_documents"])
+
+
+@query("json_opening_hours", """
+SELECT shop_id, day_of_week, is_open, CASE WHEN is_open THEN open_minute END AS open_minute, CASE WHEN is_open THEN close_minute END AS close_minute,
+  CASE WHEN is_open AND shop_id%5<>0 THEN break_start_minute END AS break_start_minute,
+  CASE WHEN is_open AND shop_id%5<>0 THEN break_end_minute END AS break_end_minute FROM shop_operating_hours WHERE shop_id%13<>12""")
+def _(t):
+    return documents.opening_hours(t["shop_documents"])
+
+
+@query("json_app_configs", """
+WITH c AS (SELECT CONCAT('config_',p_partkey) AS config_key, p_partkey AS k,
+  CASE p_partkey%3 WHEN 0 THEN 'ios' WHEN 1 THEN 'android' ELSE 'all' END AS platform FROM part),
+v AS (SELECT * FROM (VALUES (0,'version.latest','STRING','2.0'),(0,'flags.new_home','BOOLEAN','true'),(0,'flags.dark','OBJECT<>','{}'),(1,'limits.page','BIGINT','30'),
+  (2,'limits.page','STRING','30'),(2,'banner','ARRAY<STRING>','["a","b"]'),(3,'maintenance','BOOLEAN','false'),(3,'note','VOID',NULL)) AS v(form,path,kind,value))
+SELECT config_key, platform, path, kind, value FROM c JOIN v ON v.form=c.k%5
+UNION ALL SELECT config_key, platform, 'version.min', 'STRING', CONCAT('1.',k%10) FROM c WHERE k%5=0
+UNION ALL SELECT config_key, platform, 'limits.radius', 'BIGINT', CAST(k%50 AS VARCHAR) FROM c WHERE k%5=1""")
+def _(t):
+    return documents.leaves(t["app_configs"], "config_data", "config_key", "platform")
+
+
+@query("json_payment_drift", """
+SELECT path, kind, COUNT(*) AS documents FROM payments JOIN (VALUES (0,'provider','STRING'),(1,'provider','STRING'),(2,'provider','STRING'),(3,'provider','STRING'),
+  (0,'card.brand','STRING'),(1,'card.brand','STRING'),(0,'card.installments','BIGINT'),(1,'card.installments','STRING'),(3,'card','VOID'),
+  (0,'fees','ARRAY<BIGINT>'),(2,'fees','ARRAY<BIGINT>'),(2,'point.used','BIGINT'),(6,'','ARRAY<BIGINT>')) AS v(form,path,kind) ON form=reservation_id%7
+GROUP BY path, kind""")
+def _(t):
+    return documents.field_kinds(t["payment_documents"], "metadata")
+
+
 GOOD = "json_valid(conditions)"
 
 

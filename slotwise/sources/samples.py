@@ -579,13 +579,61 @@ def category_settings(t: Tables) -> DataFrame:
     )
 
 
+def payment_documents(t: Tables) -> DataFrame:
+    """Payments with metadata as providers send it: in several shapes, some broken, some absent."""
+    k, fee = _c("reservation_id"), _whole(_c("amount") / 100)
+    return t["payments"].select(
+        "id", "reservation_id",
+        _pick(
+            k % 7,
+            _text('{"provider":"toss","card":{"brand":"visa","installments":3},"fees":[', fee, ",30]}"),
+            '{"provider":"kakao","card":{"brand":"master","installments":"6"}}',
+            _text('{"provider":"naver","point":{"used":', fee, '},"fees":[', fee, "]}"),
+            '{"provider":"card","card":null}', '{"provider":"toss","card":{', F.lit(None).cast("string"), "[1,2]",
+        ).alias("metadata"),
+    )
+
+
+def shop_documents(t: Tables) -> DataFrame:
+    """Shops with their opening hours as one document, in a newer and an older shape, some cut off."""
+    k = _c("shop_id")
+    clock = lambda c: F.date_format(F.timestamp_seconds(_c(c) * 60), "HH:mm")
+    name = F.element_at(F.array(*[F.lit(d) for d in ("sun", "mon", "tue", "wed", "thu", "fri", "sat")]), _c("day_of_week") + 1)
+    newer = F.when(
+        _c("is_open"),
+        _text('{"open":"', clock("open_minute"), '","close":"', clock("close_minute"), '"', F.when(
+            _c("break_start_minute").isNotNull(),
+            _text(',"break":["', clock("break_start_minute"), '","', clock("break_end_minute"), '"]'),
+        ).otherwise(""), "}"),
+    ).otherwise("null")
+    older = F.when(_c("is_open"), _text('"', clock("open_minute"), "-", clock("close_minute"), '"')).otherwise('"closed"')
+    days = t["shop_operating_hours"].select(k, _text('"', name, '":', F.when(k % 5 == 0, older).otherwise(newer)).alias("day"))
+    whole = days.groupBy("shop_id").agg(_text("{", F.concat_ws(",", F.sort_array(F.collect_list("day"))), "}").alias("hours"))
+    return whole.select(
+        k.alias("id"), F.when(k % 13 == 12, F.left("hours", F.lit(20))).otherwise(_c("hours")).alias("operating_hours")
+    )
+
+
+def app_configs(t: Tables) -> DataFrame:
+    k = _c("p_partkey")
+    return t["part"].select(
+        _text("config_", k).alias("config_key"), _pick(k % 3, "ios", "android", "all").alias("platform"),
+        _pick(
+            k % 5,
+            _text('{"version":{"min":"1.', k % 10, '","latest":"2.0"},"flags":{"new_home":true,"dark":{}}}'),
+            _text('{"limits":{"page":30,"radius":', k % 50, "}}"),
+            '{"limits":{"page":"30"},"banner":["a","b"]}', '{"maintenance":false,"note":null}', '{"limits":',
+        ).alias("config_data"),
+    )
+
+
 _DERIVED = (
     users, user_settings, push_tokens, shops, shop_settlement_configs, shop_operating_hours,
     shop_notification_settings, shop_services, reservations, reservation_services, payments,
     point_transactions, shop_settlements, settlement_transfers, app_events, error_logs, user_favorites,
     hours_changes, shop_applications, promotions, promotion_usages, promotion_claims, notifications,
     reviews, posts, content_reports, announcements, faqs, shop_images, service_images,
-    reservation_actions, category_settings,
+    reservation_actions, category_settings, payment_documents, shop_documents, app_configs,
 )
 
 
