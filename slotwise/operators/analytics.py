@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import at
 from .referrals import referral_counters
 
 # Steps of the booking funnel, in order.
 FUNNEL_STEPS = ("app_open", "search_performed", "shop_viewed", "reservation_created", "payment_completed")
+# Registers of a sketch, as a power of two. Its size is what bounds its error, see ``sketch_error``.
+SKETCH_LG_K = 15
 
 
 def _rows(df: DataFrame) -> Column:
@@ -165,14 +167,73 @@ def retention(reservations: DataFrame) -> DataFrame:
     )
 
 
-def feature_usage(events: DataFrame, approximate: bool = False) -> DataFrame:
-    """Events and different users per kind and day; the approximate count needs no second shuffle."""
-    users = F.approx_count_distinct("user_id") if approximate else F.count_distinct("user_id")
+def booker_sketches(reservations: DataFrame, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """(day, bookers) to be stored: a theta sketch of the users who booked on each day. Exact below 2 ** lg_k users."""
+    return reservations.filter(F.col("created_at").isNotNull()).groupBy(F.to_date("created_at").alias("day")).agg(
+        F.theta_sketch_agg("user_id", lg_k).alias("bookers")
+    )
+
+
+def retention_from_sketches(sketches: DataFrame, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """Retention as above from stored sketches alone, estimated where a month has more than 2 ** lg_k users.
+
+    A cohort is who booked in a month less who booked in any before; who of them came back is its intersection with
+    a later month. Rows are months, so what is joined grows with the calendar and not with the bookings.
+    """
+    monthly = sketches.groupBy(F.trunc("day", "month").alias("month")).agg(F.theta_union_agg("bookers", lg_k).alias("bookers"))
+    before = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    known = monthly.withColumns({"known": F.theta_union_agg("bookers", lg_k).over(before), "last": F.max("month").over(Window.partitionBy())})
+    cohorts = known.select(
+        F.col("month").alias("cohort"),
+        F.when(F.col("known").isNull(), F.col("bookers")).otherwise(F.theta_difference("bookers", "known")).alias("people"),
+        F.explode(F.sequence("month", "last", F.make_ym_interval(F.lit(0), F.lit(1)))).alias("month"),
+    )
+    return (
+        cohorts.join(monthly, "month")
+        .select(
+            "cohort", F.months_between("month", "cohort").cast("int").alias("month_offset"),
+            F.theta_sketch_estimate(F.theta_intersection("people", "bookers")).alias("active_users"),
+            F.theta_sketch_estimate("people").alias("cohort_size"),
+        )
+        .filter("active_users > 0")
+        .withColumn("retention_rate", F.round(F.col("active_users") / F.col("cohort_size"), 4))
+    )
+
+
+def feature_usage(events: DataFrame) -> DataFrame:
+    """Events and different users per kind and day, counted exactly."""
+    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users")
+    )
+
+
+def sketch_error(lg_k: int = SKETCH_LG_K) -> float:
+    """Share by which a distinct count from a sketch may be off: four standard errors of one with 2 ** lg_k registers."""
+    return 4 * 1.04 / 2 ** (lg_k / 2)
+
+
+def usage_sketches(events: DataFrame, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """(day, event_type, events, users) to be stored, where ``users`` is a sketch of the different users.
+
+    One shuffle of small rows: users are put into sketches where the events are read.
+    """
     return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
-        F.count(F.lit(1)).alias("events"), users.alias("users")
+        F.count(F.lit(1)).alias("events"), F.hll_sketch_agg("user_id", lg_k).alias("users")
+    )
+
+
+def merged_usage(sketches: DataFrame, unit: str) -> DataFrame:
+    """Sketches of longer times (``week``, ``month``) from those of the days in them; no event is read again."""
+    return sketches.groupBy(F.trunc("day", unit).alias("day"), "event_type").agg(
+        F.sum("events").alias("events"), F.hll_union_agg("users").alias("users")
     )
 
 
+def usage_counts(sketches: DataFrame) -> DataFrame:
+    """Different users of each row, estimated within ``sketch_error``."""
+    return sketches.withColumn("users", F.hll_sketch_estimate("users"))
+
+
 def onboarding_success(applications: DataFrame) -> DataFrame:
     """Approved share of decided applications per month and category."""
     status = F.col("application_status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, documents, outreach
+from ..operators.durable import cut_lineage
 from .registry import AS_OF, query
 
 NOW = "TIMESTAMP '2001-07-15 12:00:00'"
@@ -93,13 +94,16 @@ def _(t):
     return analytics.event_funnel(t["app_events"])
 
 
-@query("retention", """
+_RETENTION = """
 WITH act AS (SELECT DISTINCT user_id, CAST(DATE_TRUNC('month',created_at) AS DATE) AS m FROM reservations),
 co AS (SELECT user_id, MIN(m) AS cohort FROM act GROUP BY user_id),
 n AS (SELECT cohort, CAST((EXTRACT(year FROM m)-EXTRACT(year FROM cohort))*12+EXTRACT(month FROM m)-EXTRACT(month FROM cohort) AS INT) AS month_offset,
   COUNT(*) AS active_users FROM act JOIN co ON co.user_id=act.user_id GROUP BY 1,2)
 SELECT n.cohort, n.month_offset, n.active_users, z.active_users AS cohort_size, ROUND(CAST(n.active_users AS DOUBLE)/z.active_users,4) AS retention_rate
-FROM n JOIN n z ON z.cohort=n.cohort AND z.month_offset=0""")
+FROM n JOIN n z ON z.cohort=n.cohort AND z.month_offset=0"""
+
+
+@query("retention", _RETENTION)
 def _(t):
     return analytics.retention(t["reservations"])
 
@@ -110,15 +114,22 @@ def _(t):
     return analytics.feature_usage(t["app_events"])
 
 
+# Sketches of few users are exact, which the samples' days and weeks stay below; tests hold larger ones to their error.
 @query("feature_usage_approximate", """
-SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS events, TRUE AS within_bound FROM app_events GROUP BY 1,2""")
+SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS events, COUNT(DISTINCT user_id) AS users FROM app_events GROUP BY 1,2""")
 def _(t):
-    # The estimate is held against the exact count: five standard errors of the sketch.
-    exact = analytics.feature_usage(t["app_events"]).withColumnRenamed("users", "exact")
-    near = F.abs(F.col("users") - F.col("exact")) <= F.ceil(0.25 * F.col("exact"))
-    return analytics.feature_usage(t["app_events"], approximate=True).join(exact, ["day", "event_type", "events"]).select(
-        "day", "event_type", "events", near.alias("within_bound")
-    )
+    return analytics.usage_counts(analytics.usage_sketches(t["app_events"]))
+
+
+@query("feature_usage_weekly", """
+SELECT CAST(DATE_TRUNC('week',ts) AS DATE) AS day, event_type, COUNT(*) AS events, COUNT(DISTINCT user_id) AS users FROM app_events GROUP BY 1,2""")
+def _(t):
+    return analytics.usage_counts(analytics.merged_usage(cut_lineage(analytics.usage_sketches(t["app_events"])), "week"))
+
+
+@query("retention_from_sketches", _RETENTION)
+def _(t):
+    return analytics.retention_from_sketches(cut_lineage(analytics.booker_sketches(t["reservations"])))
 
 
 @query("onboarding_success", """
