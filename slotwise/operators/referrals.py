@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import at, in_days
 from ..functions.masking import mask_id
-from .durable import cut_lineage
+from .spread import running_totals
 
 # Referrals and paying referrals an influencer needs, alphabet of codes.
 INFLUENCER_REFERRALS = 50
 CODE_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 CODE_LENGTH = 8
+# Steps of the network that mixes numbers into codes.
+FEISTEL_STEPS = 6
 
 
 def referral_counters(tables) -> DataFrame:
@@ -117,36 +120,101 @@ def referral_earning_rows(tables, first: dt.date, last: dt.date, zone: str | Non
     )
 
 
-def _code(key: Column, turn: int, length: int) -> Column:
-    digest = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(turn)))), 1, 12), 16, 10).cast("long")
+def _halves(length: int) -> tuple[int, int]:
+    """How many values the upper and the lower half of a code's number have."""
     size = len(CODE_ALPHABET)
-    letters = [
-        F.substring(F.lit(CODE_ALPHABET), (F.floor(digest / size**i) % size + 1).cast("int"), F.lit(1))
-        for i in range(length)
-    ]
-    return F.concat(*letters)
+    return size ** (length // 2), size ** (length - length // 2)
+
+
+def _mixed(number: Column, length: int, back: bool = False) -> Column:
+    """One Feistel network over the halves of ``number``, or the way back through it.
+
+    In turn each half is moved on by a digest of the other one, which the way back knows, too, so different numbers
+    stay different. The halves are whole characters, so every result is a number of a code. The steps are a fold:
+    written out, each would hold the one before it twice.
+    """
+    upper, lower = _halves(length)
+    low = F.pmod(number, F.lit(lower))
+
+    def digest(step: Column, by: Column) -> Column:
+        value = F.conv(F.substring(F.md5(F.concat_ws(":", step.cast("string"), by.cast("string"))), 1, 8), 16, 10).cast("long")
+        return -value if back else value
+
+    def move(halves: Column, step: Column) -> Column:
+        return F.when(
+            step % 2 == 0,
+            F.struct(F.pmod(halves["u"] + digest(step, halves["l"]), F.lit(upper)).alias("u"), halves["l"].alias("l")),
+        ).otherwise(F.struct(halves["u"].alias("u"), F.pmod(halves["l"] + digest(step, halves["u"]), F.lit(lower)).alias("l")))
+
+    steps = F.array(*[F.lit(i) for i in sorted(range(FEISTEL_STEPS), reverse=back)])
+    first = F.struct(((number - low) / lower).cast("long").alias("u"), low.cast("long").alias("l"))
+    return F.aggregate(steps, first, move, lambda halves: halves["u"] * lower + halves["l"])
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out a single time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def with_codes(df: DataFrame, number: str, code: str, length: int = CODE_LENGTH) -> DataFrame:
+    """``df`` with the code of a number below 36 ** ``length``; different numbers have different codes."""
+    size = len(CODE_ALPHABET)
+    powers = F.array(*[F.lit(size**i) for i in range(length)])
+    letter = lambda whole, p: F.substring(F.lit(CODE_ALPHABET), (F.floor(whole / p) % size + 1).cast("int"), F.lit(1))
+    spelled = _once(_mixed(F.col(number).cast("long"), length), lambda w: F.array_join(F.transform(powers, lambda p: letter(w, p)), ""))
+    return df.withColumn(code, spelled)
+
+
+def with_numbers(df: DataFrame, code: str, number: str, length: int = CODE_LENGTH) -> DataFrame:
+    """``df`` with the number that :func:`with_codes` gives ``code``, NULL for a text that is no such code."""
+    size = len(CODE_ALPHABET)
+    digit = lambda i: (F.instr(F.lit(CODE_ALPHABET), F.substring(F.col(code), i + 1, 1)) - 1).cast("long") * size**i
+    whole = sum((digit(i) for i in range(length)), F.lit(0).cast("long"))
+    is_code = F.col(code).rlike(f"^[{CODE_ALPHABET}]{{{length}}}\\z")
+    return df.withColumn(number, F.when(is_code, _once(whole, lambda w: _mixed(w, length, back=True))))
+
+
+def numbered(df: DataFrame, by: str, number: str) -> DataFrame:
+    """``df`` with numbers from 0 without a gap, by the unique column ``by``, without sorting all rows.
+
+    Rows are dealt into 4096 parts by a digest and numbered inside; the parts' counts say where each one starts.
+    """
+    dealt = df.withColumn("__part", F.substring(F.md5(F.col(by).cast("string")), 1, 3))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(by))
+    return dealt.withColumn("__inside", inside).join(starts, "__part").withColumn(
+        number, F.col("__start") + F.col("__inside") - 1
+    ).drop("__part", "__inside", "__start")
 
 
 def referral_codes(users: DataFrame, length: int = CODE_LENGTH) -> DataFrame:
     """Give every user without a code one that nobody has: (id, code).
 
-    Codes come from a digest of the user key, so a second run gives the same ones. Who loses a
-    clash tries again with another digest, until nobody is left; with codes of eight characters
-    that is a round or two. Where more users ask than codes are left, it fails.
+    Codes are those of a permutation of all numbers: users are numbered, and different numbers have different codes. Only codes
+    that are held already could clash. They are turned back into numbers, which are passed over in the numbering: of
+    the numbers that nobody holds, the r-th user gets the r-th. The same users get the same codes in every run.
+    Where more users ask than codes are left, it fails.
     """
-    held = users.filter(F.col("referral_code").isNotNull()).select(F.col("referral_code").alias("code"))
-    open_ids = users.filter(F.col("referral_code").isNull()).select("id")
-    left = len(CODE_ALPHABET) ** length - held.distinct().count()
-    if open_ids.count() > left:
+    held = with_numbers(
+        users.filter(F.col("referral_code").isNotNull()).select(F.col("referral_code").alias("code")).distinct(), "code", "held", length
+    ).filter(F.col("held").isNotNull()).select("held")
+    asking = users.filter(F.col("referral_code").isNull()).select("id")
+    n_held, n_asking = held.count(), asking.count()
+    left = len(CODE_ALPHABET) ** length - n_held
+    if n_asking > left:
         raise ValueError(f"only {left} codes of {length} characters are left")
-    taken, assigned, turn = held, None, 0
-    while assigned is None or not open_ids.isEmpty():
-        tried = open_ids.withColumn("code", _code(F.col("id"), turn, length))
-        won = cut_lineage(
-            tried.groupBy("code").agg(F.min("id").alias("id")).join(taken, "code", "left_anti").select("id", "code")
-        )
-        assigned = won if assigned is None else assigned.unionByName(won)
-        taken = taken.unionByName(won.select("code"))
-        open_ids = cut_lineage(open_ids.join(won, "id", "left_anti"))
-        turn += 1
-    return assigned
+    # With so many numbers there is one for everybody; held ones beyond do not matter.
+    near = held.filter(F.col("held") < n_held + n_asking).withColumn("all", F.lit(0))
+    # A held number that has j held ones below it is passed over by every user from number (held - j) on.
+    passed = running_totals(near, "all", "held", "held", {"upto": F.lit(1)}).select(
+        F.lit(None).cast(asking.schema["id"].dataType).alias("id"), (F.col("held") - F.col("upto") + 1).alias("at"), F.lit(1).alias("skip"), "held"
+    )
+    users_at = numbered(asking, "id", "at").select("id", "at", F.lit(0).alias("skip"), F.lit(None).cast("long").alias("held"))
+    line = passed.unionByName(users_at).select(
+        F.lit(0).alias("all"), "id", "at", (F.col("at") * 2 + 1 - F.col("skip")).alias("place"), "skip", F.coalesce("held", "at").alias("tie")
+    )
+    placed = running_totals(line, "all", "place", "tie", {"over": F.col("skip")}).filter("skip = 0")
+    return with_codes(placed.select("id", (F.col("at") + F.col("over")).alias("number")), "number", "code", length).select("id", "code")

@@ -190,18 +190,33 @@ def _(t):
     return referrals.referral_earning_rows(t, *YEAR)
 
 
-_DIGITS = " || ".join(
-    f"SUBSTR('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789',CAST((n//{36**i})%36+1 AS INT),1)" for i in range(8)
-)
+_HALF = 36**4
 
 
+def _code_sql(number: str, source: str, keep: str) -> str:
+    """SELECT of ``keep`` and ``code`` for the numbers ``number`` of ``source``, step by step."""
+    body = f"SELECT {keep}, ({number})//{_HALF} AS u, ({number})%{_HALF} AS l FROM {source}"
+    for step in range(6):
+        moved, by = ("u", "l") if step % 2 == 0 else ("l", "u")
+        mixed = f"({moved}+CAST('0x' || SUBSTR(MD5('{step}:' || {by}),1,8) AS BIGINT))%{_HALF} AS {moved}"
+        body = f"SELECT {keep}, {', '.join((mixed, by))} FROM ({body})"
+    digits = " || ".join(f"SUBSTR('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789',CAST((w//{36**i})%36+1 AS INT),1)" for i in range(8))
+    return f"SELECT {keep}, {digits} AS code FROM (SELECT {keep}, u*{_HALF}+l AS w FROM ({body}))"
+
+
+# All numbers that could be needed, with their codes; those that nobody holds go to the users in order.
 @query("referral_codes", f"""
-SELECT id, {_DIGITS} AS code FROM (
-  SELECT id, CAST('0x' || SUBSTR(MD5(CAST(id AS STRING) || ':0'),1,12) AS BIGINT) AS n FROM users WHERE id%3=0) x""")
-def _(t):
-    # A third of the users are taken to have no code yet. Clashes are too rare to show here.
-    people = t["users"].withColumn("referral_code", F.when(F.col("id") % 3 != 0, F.col("referral_code")))
-    return referrals.referral_codes(people)
+WITH held AS (SELECT code FROM ({_code_sql("id//3*2", "(SELECT id FROM users WHERE id%3=1)", "id")})),
+asking AS (SELECT id, ROW_NUMBER() OVER (ORDER BY SUBSTR(MD5(CAST(id AS VARCHAR)),1,3), id) AS r FROM users WHERE id%3=0),
+numbers AS (SELECT n FROM (SELECT UNNEST(RANGE((SELECT COUNT(*) FROM users))) AS n)),
+free AS (SELECT code, ROW_NUMBER() OVER (ORDER BY n) AS r FROM ({_code_sql("n", "numbers", "n")}) WHERE code NOT IN (SELECT code FROM held))
+SELECT id, code FROM asking JOIN free ON free.r=asking.r""")
+def _(t):
+    # A third of the users have no code yet; another third hold codes that would be given out, every second number.
+    planted = referrals.with_codes(t["users"].withColumn("n", F.floor(F.col("id") / 3) * 2), "n", "planted")
+    return referrals.referral_codes(
+        planted.withColumn("referral_code", F.when(F.col("id") % 3 == 1, F.col("planted")).when(F.col("id") % 3 == 2, F.col("referral_code")))
+    )
 
 
 @query("profile_stats", f"""
