@@ -49,3 +49,39 @@ def test_long_codes_are_all_assigned(spark):
     got = referrals.referral_codes(people)
     assert got.select("code").distinct().count() == got.count() == 5000
     assert got.filter("NOT code RLIKE '^[A-Z0-9]{8}$'").isEmpty()
+
+
+@pytest.mark.parametrize("length", [1, 2, 3])
+def test_codes_are_a_permutation_that_can_be_turned_back(spark, length):
+    numbers = spark.range(36**length)
+    coded = referrals.with_codes(numbers, "id", "code", length)
+    assert coded.select("code").distinct().count() == 36**length
+    assert referrals.with_numbers(coded, "code", "back", length).filter("back IS DISTINCT FROM id").isEmpty()
+    assert coded.filter(f"code RLIKE '^[A-Z0-9]{{{length}}}$'").count() == 36**length
+
+
+def test_texts_that_are_no_codes_have_no_number(spark):
+    texts = ["", "ABC", "ABCDEFGHI", "abcdefgh", "ABCDEFG ", "ABCDEFGH\n", None, "ÄBCDEFGH"]
+    found = referrals.with_numbers(spark.createDataFrame([(t,) for t in texts], "code STRING"), "code", "n")
+    assert [r.n for r in found.collect()] == [None] * len(texts)
+
+
+def test_numbers_have_no_gap(spark):
+    got = referrals.numbered(spark.range(5000).selectExpr("CAST(id * 7 AS STRING) AS id"), "id", "n")
+    assert sorted(r.n for r in got.collect()) == list(range(5000))
+
+
+def test_codes_given_before_are_passed_over(spark):
+    """Three runs one after the other, with holes between held codes, use up all codes of two letters."""
+    holders = referrals.with_codes(spark.range(0, 1296, 5), "id", "code", 2).selectExpr("id + 100000 AS id", "code AS referral_code")
+    people = holders.unionByName(spark.createDataFrame([(-1, "?"), (-2, "toolong")], "id LONG, referral_code STRING"))
+    for first, count in ((0, 400), (1000, 600), (2000, 36)):
+        new = spark.range(first, first + count).selectExpr("id", "CAST(NULL AS STRING) AS referral_code")
+        given = referrals.referral_codes(people.unionByName(new), length=2).selectExpr("id", "code AS referral_code")
+        assert given.count() == count
+        people = spark.createDataFrame(people.unionByName(given).collect(), "id LONG, referral_code STRING")
+    codes = [r.referral_code for r in people.collect()]
+    assert len(codes) == len(set(codes)) == 1296 + 2
+    one = people.unionByName(spark.createDataFrame([(9999, None)], "id LONG, referral_code STRING"))
+    with pytest.raises(ValueError, match="only 0 codes"):
+        referrals.referral_codes(one, length=2)
