@@ -78,13 +78,13 @@ r AS (SELECT *, CASE
         list_filter(string_split(path, '/'), lambda x: x <> '') AS raw FROM h),
 g AS (SELECT page_id, host, path, rule,
              CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
-             list_concat(list_transform(raw[:8], lambda x: CASE
+             list_transform(raw, lambda x: CASE
                WHEN regexp_full_match(x, '[0-9]+') THEN '{n}'
                WHEN regexp_full_match(x, '[0-9]+[.][A-Za-z0-9]+') THEN '{n}.' || regexp_extract(x, '[.]([A-Za-z0-9]+)$', 1)
-               WHEN regexp_full_match(x, '[0-9a-fA-F-]{16,}') THEN '{hash}' ELSE x END),
-               CASE WHEN len(raw) > 8 THEN ['{more}'] ELSE [] END) AS segments FROM r),
+               WHEN regexp_full_match(x, '[0-9a-fA-F-]{16,}') THEN '{hash}' ELSE x END) AS segments FROM r),
 v AS (SELECT host, place, count(*) AS n, count(DISTINCT value) AS many
-      FROM (SELECT host, unnest(segments) AS value, unnest(range(1, len(segments) + 1)) AS place FROM g)
+      FROM (SELECT host, unnest(segments) AS value, unnest(range(1, len(segments) + 1)) AS place
+            FROM (SELECT DISTINCT host, path, segments FROM g))
       GROUP BY host, place),
 w AS (SELECT host, list(place) AS wide FROM v WHERE many > 20 AND many * 2 > n GROUP BY host),
 p AS (SELECT page_id, g.host, path, rule, ruled,

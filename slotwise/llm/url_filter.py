@@ -27,9 +27,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Segments of a template; what lies deeper is one wildcard.
-DEPTH = 8
-#: A place of a host with more values than this, and than half its URLs, holds identifiers.
+#: A place of a host with more values than this, and than half its different paths, holds identifiers.
 WIDE = 20
 #: Labelled URLs that a prior counts for, and standard errors within which branches are alike.
 WEIGHT = 4.0
@@ -56,16 +54,14 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """Segments with numbers and hashes as wildcards; what is deeper than DEPTH is one segment."""
+    """All segments of a path, numbers and hashes as wildcards; empty ones are left out, so ``/a//b`` is ``/a/b``."""
     form = lambda s: (
         F.when(s.rlike("^[0-9]+$"), F.lit("{n}"))
         .when(s.rlike("^[0-9]+[.][A-Za-z0-9]+$"), F.concat(F.lit("{n}."), F.regexp_extract(s, "[.]([A-Za-z0-9]+)$", 1)))
         .when(s.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("{hash}"))
         .otherwise(s)
     )
-    parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    upper = F.transform(F.slice(parts, 1, DEPTH), form)
-    return F.when(F.size(parts) > DEPTH, F.concat(upper, F.array(F.lit("{more}")))).otherwise(upper)
+    return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), form)
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -73,21 +69,24 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     A null URL, or one without ``://``, has empty host and path and no rule; its template is that of
     the empty host. Without any labelled URL all templates have a purity of 0 and are allowed.
-    Repeated rows each get their answer; an empty table gives an empty result.
+    Repeated rows each get their answer and change no template; an empty table gives an empty result.
+    Paths count with all their segments; the nodes of a path are as many as its segments.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)).select(
         "id", "host", "path", "hit.rule", F.col("hit.verdict").alias("ruled"), _segments(F.col("path")).alias("segments")
     )
-    # Places of a host where values vary. Values are counted before hosts, so a hot host is spread.
-    values = rows.select("host", F.posexplode("segments").alias("place", "value")).groupBy("host", "place", "value").agg(
+    # Places of a host where values vary, among its different paths, so that rows that come again count once.
+    # Values are counted before hosts, so a hot host is spread.
+    paths = rows.groupBy("host", "path").agg(F.first("segments").alias("segments"))
+    values = paths.select("host", F.posexplode("segments").alias("place", "value")).groupBy("host", "place", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
     varying = (
         values.groupBy("host", "place").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"))
         .filter((F.col("many") > WIDE) & (F.col("many") * 2 > F.col("n")))
-        .groupBy(F.col("host").alias("wide_host")).agg(F.collect_list("place").alias("wide"))  # DEPTH places at most
+        .groupBy(F.col("host").alias("wide_host")).agg(F.collect_list("place").alias("wide"))  # places of its longest path at most
     )
     template = F.transform(
         "segments", lambda s, i: F.when(F.array_contains("wide", i), F.lit("*")).otherwise(s)
@@ -143,7 +142,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     steps = (
         chain.select("host", "template", "depth", "node").join(counted, ["host", "depth", "node"])
         .groupBy("host", "template")
-        .agg(F.sort_array(F.collect_list(F.struct("depth", "b", "n"))).alias("steps"))  # DEPTH + 2 at most
+        .agg(F.sort_array(F.collect_list(F.struct("depth", "b", "n"))).alias("steps"))  # one for each segment and the root
         .join(priors, F.col("template") == F.col("same"))
     )
     purity = F.aggregate("steps", F.col("prior"), lambda p, s: (s["b"] + WEIGHT * p) / (s["n"] + WEIGHT))

@@ -153,6 +153,24 @@ def test_templates_learn_from_labelled_siblings(spark):
     assert got[0].template == "es/{n}"
 
 
+def test_deep_paths_keep_all_their_segments(spark):
+    deep = "/".join(f"s{i}" for i in range(12))
+    urls = [f"http://a.org/{deep}/{end}" for end in "abc"] + ["http://a.org/" + "x/" * 3000, "http://a.org//x///y", "http://a.org/x/y"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.id: r.template for r in U.filter_urls(df).collect()}
+    assert [got[i] for i in range(3)] == [f"{deep}/{end}" for end in "abc"]
+    assert got[3] == "/".join("x" * 3000) and got[4] == got[5] == "x/y"
+
+
+def test_repeated_rows_change_no_template(spark):
+    urls = [f"http://a.org/user-{i}/page" for i in range(40)] + ["http://a.org/about", "http://b.org/user-1/page"]
+    once = U.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    often = U.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls) for _ in range(1 + i % 5)], "page_id long, url string"))
+    templates = {r.id: r.template for r in once.collect()}
+    assert templates[0] == "*/page" and templates[41] == "user-1/page"
+    assert {r.id: r.template for r in often.collect()} == templates
+
+
 def test_urls_of_nothing(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
