@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import changes, quality, visibility
-from ..sources import model
+from ..operators.durable import cut_lineage, shared_folder
+from ..sources import model, store
 from .registry import AS_OF, query
 
 NOW = "TIMESTAMP '2001-07-15 12:00:00'"
@@ -273,6 +274,21 @@ def _(t):
     return changes.apply_defaults(some, "user_settings")
 
 
+@query("append_log", "SELECT id, reservation_id, action, performed_by, previous_status, new_status, created_at FROM reservation_actions")
+def _(t):
+    # Four batches, of which two come again, as after a failure; the first one half written at first.
+    root, rows = shared_folder(t.spark, "log"), t["reservation_actions"]
+    dealt = cut_lineage(rows.withColumn("batch", F.pmod(F.crc32("id"), F.lit(4))))
+    for batch, share in ((0, 2), (0, 1), (1, 1), (2, 1), (1, 1), (3, 1)):
+        part = dealt.filter((F.col("batch") == batch) & (F.pmod(F.xxhash64("id"), F.lit(share)) == 0))
+        store.append_log(part, root, "reservation_actions", batch)
+    number = lambda c: F.col(c).cast("long").alias(c)  # noqa: E731 - stored keys are texts
+    return store.load(t.spark, root, "reservation_actions").select(
+        "id", number("reservation_id"), "action", number("performed_by"), "previous_status", "new_status",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
 # Rows that name an account: points by the friend they were earned with, actions by who did them. An account that asked
 # to go is held where such a row belongs to somebody who did not ask, or who is held.
 _ERASE = """WITH RECURSIVE asked AS (SELECT id FROM users WHERE user_status='deleted'),

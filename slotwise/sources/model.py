@@ -295,6 +295,9 @@ COLUMNS: dict[str, str] = {
     f"notification_end_minute INT, {_STAMPS}",
 }
 
+# Tables that are only ever added to, batch by batch.
+LOGS: tuple[str, ...] = ("admin_actions", "settlement_logs", "reservation_actions")
+
 # Tables that grow with time, and the date they are laid out by on disk.
 PARTITION_DATE: dict[str, str] = {
     "reservations": "reservation_date",

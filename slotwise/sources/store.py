@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import model
 
 MONTH = "stored_month"
+BATCH = "stored_batch"
+# The batch of rows that were there before a log was first added to.
+FIRST = -1
 
 
 class Tables(Mapping[str, DataFrame]):
@@ -45,6 +48,8 @@ def load(spark: SparkSession, root: str, table: str) -> DataFrame:
     columns = schema(table)
     if table in model.PARTITION_DATE:
         columns = T.StructType([*columns.fields, T.StructField(MONTH, T.DateType())])
+    if table in model.LOGS:
+        columns = T.StructType([*columns.fields, T.StructField(BATCH, T.LongType())])
     return spark.read.schema(columns).parquet(f"{root}/{table}")
 
 
@@ -66,23 +71,35 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 def save(df: DataFrame, root: str, table: str, mode: str = "errorifexists") -> None:
     """Write a table. Dated tables get one folder per month, sorted by date inside, so
     that both the folder and the row-group statistics prune a date range."""
-    rows = conform(df, table)
+    _write(conform(df, table), root, table, mode, FIRST)
+
+
+def _write(rows: DataFrame, root: str, table: str, mode: str, batch: int) -> None:
     dated = model.PARTITION_DATE.get(table)
     if dated is None:
         rows.write.mode(mode).parquet(f"{root}/{table}")
         return
-    month = F.trunc(F.col(dated).cast("date"), "month")
+    folders = [MONTH]
+    rows = rows.withColumn(MONTH, F.trunc(F.col(dated).cast("date"), "month"))
+    if table in model.LOGS:
+        folders, rows = [MONTH, BATCH], rows.withColumn(BATCH, F.lit(batch).cast("long"))
     # "rebalance" joins small months into one writer and splits a busy month over many.
     (
-        rows.withColumn(MONTH, month)
-        .hint("rebalance", MONTH)
+        rows.hint("rebalance", MONTH)
         .sortWithinPartitions(MONTH, dated)
         .write.mode(mode)
-        .partitionBy(MONTH)
+        .option("partitionOverwriteMode", "dynamic" if table in model.LOGS else "static")
+        .partitionBy(*folders)
         .parquet(f"{root}/{table}")
     )
 
 
-def append_log(df: DataFrame, root: str, table: str) -> None:
-    """Add audit rows; rows already there are never touched."""
-    save(df, root, table, mode="append")
+def append_log(df: DataFrame, root: str, table: str, batch: int) -> None:
+    """Add the audit rows of batch ``batch`` (0 or more); rows of other batches are never touched.
+
+    A batch that is added again, after a failure or by mistake, replaces itself: its folders are
+    written anew and no others, so its rows are there once. The same batch must have the same rows.
+    """
+    if table not in model.LOGS or batch < 0:
+        raise ValueError(f"{table} is no log, or {batch} no batch")
+    _write(conform(df, table), root, table, "overwrite", batch)
