@@ -56,11 +56,28 @@ def test_operators_run_on_a_store(spark, tmp_path):
 
 def test_log_is_only_added_to(spark, tmp_path):
     line = spark.createDataFrame([("1", "s", "approved", dt.datetime(2001, 7, 1))], "id STRING, settlement_id STRING, action STRING, created_at TIMESTAMP_NTZ")
-    store.append_log(line, str(tmp_path), "settlement_logs")
-    store.append_log(line.selectExpr("'2' AS id", "settlement_id", "action", "created_at"), str(tmp_path), "settlement_logs")
+    store.append_log(line, str(tmp_path), "settlement_logs", 0)
+    store.append_log(line.selectExpr("'2' AS id", "settlement_id", "action", "created_at"), str(tmp_path), "settlement_logs", 1)
     assert store.load(spark, str(tmp_path), "settlement_logs").count() == 2
 
 
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    kind = "id STRING, settlement_id STRING, action STRING, created_at TIMESTAMP_NTZ"
+    line = lambda i, month: (i, "s", "approved", dt.datetime(2001, month, 1))
+    first = spark.createDataFrame([line("old", 6)], kind)
+    store.save(first, str(tmp_path), "settlement_logs")
+    batch = spark.createDataFrame([line("a", 6), line("b", 7), line("c", 7)], kind)
+    store.append_log(batch.filter("id = 'b'"), str(tmp_path), "settlement_logs", 0)  # cut off half way
+    for _ in range(3):
+        store.append_log(batch, str(tmp_path), "settlement_logs", 0)
+    store.append_log(spark.createDataFrame([line("d", 7)], kind), str(tmp_path), "settlement_logs", 1)
+    kept = store.load(spark, str(tmp_path), "settlement_logs")
+    assert rows(kept.select("id", "stored_batch")) == [("a", 0), ("b", 0), ("c", 0), ("d", 1), ("old", -1)]
+    assert "PartitionFilters: [isnotnull(stored_month" in plan(kept.filter("stored_month = DATE '2001-07-01'").select("id"))
+    with pytest.raises(ValueError, match="no log"):
+        store.append_log(batch, str(tmp_path), "users", 0)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     t = open_samples(spark, SAMPLE)
     text = plan(t["promotion_usages"].select("promotion_id"))
