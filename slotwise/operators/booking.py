@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import at, hours_between, slot_time
 from .settings import number
@@ -86,17 +86,10 @@ def reservation_quote(tables, requests: DataFrame, lines: DataFrame) -> DataFram
     )
 
 
-def free_slots(
-    tables, first: dt.date, days: int, as_of: dt.datetime, step: int = 30, duration: int = 60
-) -> DataFrame:
-    """State of every slot of every active shop on ``days`` days: available, booked, blocked, past.
-
-    A slot starts every ``step`` minutes and takes ``duration``. Bookings are turned into the slot
-    starts they touch and deduplicated, so the match is an equi-join on (shop, day, slot) and a
-    shop with very many bookings on a day contributes each slot once.
-    """
+def _open_days(tables, first: dt.date, days: int) -> DataFrame:
+    """Opening hours of every active shop on each of ``days`` days that it is open."""
     calendar = F.sequence(F.lit(first), F.lit(first + dt.timedelta(days=days - 1)))
-    open_days = (
+    return (
         tables["shop_operating_hours"].filter(F.col("is_open"))
         .join(
             tables["shops"].filter(F.col("shop_status") == "active").select(F.col("id").alias("shop_id")),
@@ -108,6 +101,18 @@ def free_slots(
             F.explode(F.filter(calendar, lambda d: (F.weekday(d) + 1) % 7 == F.col("day_of_week"))),
         )
     )
+
+
+def free_slots(
+    tables, first: dt.date, days: int, as_of: dt.datetime, step: int = 30, duration: int = 60
+) -> DataFrame:
+    """State of every slot of every active shop on ``days`` days: available, booked, blocked, past.
+
+    A slot starts every ``step`` minutes and takes ``duration``. Bookings are turned into the slot
+    starts they touch and deduplicated, so the match is an equi-join on (shop, day, slot) and a
+    shop with very many bookings on a day contributes each slot once.
+    """
+    open_days = _open_days(tables, first, days)
     last_start = F.col("close_minute") - duration
     slots = open_days.filter(last_start >= F.col("open_minute")).select(
         "shop_id", "day", "break_start_minute", "break_end_minute",
@@ -134,8 +139,8 @@ def free_slots(
     )
 
 
-def _taken_slots(tables, first: dt.date, days: int, step: int, duration: int) -> DataFrame:
-    """Slot starts that overlap an open booking. A booking lasts as long as its longest service."""
+def _booked(tables, first: dt.date, days: int) -> DataFrame:
+    """Open bookings of ``days`` days with the minutes of their longest service, NULL where none is known."""
     last = first + dt.timedelta(days=days - 1)
     booked = tables["reservations"].filter(
         F.col("reservation_date").between(F.lit(first), F.lit(last)) & F.col("status").isin("requested", "confirmed")
@@ -147,6 +152,72 @@ def _taken_slots(tables, first: dt.date, days: int, step: int, duration: int) ->
         .groupBy("reservation_id")
         .agg(F.max("duration_minutes").alias("minutes"))
     )
+    return booked.join(length, "reservation_id", "left")
+
+
+def bookable_gaps(tables, first: dt.date, days: int, as_of: dt.datetime, duration: int = 60) -> DataFrame:
+    """Stretches of free minutes of every active shop: shop_id, day, open_minute, gap_start, gap_end (exclusive).
+
+    Bookings and breaks that overlap or touch are one island; a gap reaches from the end of one to the start of the
+    next, from opening to closing time, and not before ``as_of``. Bookings of unknown length take ``duration``. Of
+    bookings that start in the same minute only the longest counts, so a shop's day is 1441 rows at most, whatever
+    the number of its bookings.
+    """
+    hours = _open_days(tables, first, days)
+    own = F.array_compact(
+        F.array(
+            F.when(
+                F.col("break_start_minute") < F.col("break_end_minute"),
+                F.struct(F.col("break_start_minute").alias("begin"), F.col("break_end_minute").alias("end")),
+            ),
+            # Closing time ends the last gap.
+            F.struct(F.col("close_minute").alias("begin"), F.col("close_minute").alias("end")),
+        )
+    )
+    taken = _booked(tables, first, days).select(
+        "shop_id", "day", F.col("reservation_minute").alias("begin"),
+        (F.col("reservation_minute") + F.coalesce("minutes", F.lit(duration))).alias("end"),
+    )
+    busy = hours.select("shop_id", "day", F.inline(own)).unionByName(taken).groupBy("shop_id", "day", "begin").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("shop_id", "day").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    today, minute = as_of.date(), -(-(as_of.hour * 3600 + as_of.minute * 60 + as_of.second + (as_of.microsecond > 0)) // 60)
+    now = F.when(F.col("day") < F.lit(today), 24 * 60).when(F.col("day") == F.lit(today), minute).otherwise(0)
+    return (
+        busy.join(hours.select("shop_id", "day", "open_minute", "close_minute"), ["shop_id", "day"])
+        .withColumn("until", F.max("end").over(before))
+        .select(
+            "shop_id", "day", "open_minute",
+            F.greatest("open_minute", F.coalesce("until", F.lit(0)), now).alias("gap_start"),
+            F.least("begin", "close_minute").alias("gap_end"),
+        )
+        .filter(F.col("gap_start") < F.col("gap_end"))
+    )
+
+
+def first_starts(tables, gaps: DataFrame, step: int = 30) -> DataFrame:
+    """The earliest day and start of every service that fits a gap whole: service_id, shop_id, duration_minutes, day, start_minute.
+
+    Starts lie ``step`` minutes apart from opening time on. Gaps meet the different lengths of their shop's services,
+    some tens, and not the services themselves.
+    """
+    services = tables["shop_services"].select(F.col("id").alias("service_id"), "shop_id", "duration_minutes")
+    steps = F.ceil((F.col("gap_start") - F.col("open_minute")) / step).cast("int")
+    start = F.col("open_minute") + steps * step
+    earliest = (
+        gaps.withColumn("start_minute", start)
+        .join(services.select("shop_id", "duration_minutes").distinct(), "shop_id")
+        .filter(F.col("start_minute") + F.col("duration_minutes") <= F.col("gap_end"))
+        .groupBy("shop_id", "duration_minutes")
+        .agg(F.min(F.struct("day", "start_minute")).alias("earliest"))
+    )
+    return services.join(earliest, ["shop_id", "duration_minutes"]).select(
+        "service_id", "shop_id", "duration_minutes", "earliest.day", "earliest.start_minute"
+    )
+
+
+def _taken_slots(tables, first: dt.date, days: int, step: int, duration: int) -> DataFrame:
+    """Slot starts that overlap an open booking. A booking lasts as long as its longest service."""
+    booked = _booked(tables, first, days)
     hours = tables["shop_operating_hours"].select(
         "shop_id", "day_of_week", "open_minute", "close_minute"
     )
@@ -159,7 +230,7 @@ def _taken_slots(tables, first: dt.date, days: int, step: int, duration: int) ->
         F.floor((F.col("close_minute") - F.col("open_minute") - duration) / step).cast("int"),
     )
     return (
-        booked.join(length, "reservation_id", "left")
+        booked
         .withColumn("day_of_week", (F.weekday("day") + 1) % 7)
         .join(hours, ["shop_id", "day_of_week"])
         .withColumn("low", low)
