@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -152,3 +153,66 @@ def test_applicants_with_a_shop_are_refused(spark, tables):
     got = booking.submit_applications(t, asked, NOW)
     assert rows(got["accepted"].select("applicant_id")) == [(7,), (8,)]
     assert rows(got["rejected"].select("applicant_id")) == [(5,), (6,)]
+
+
+def brute_gaps(hours, bookings, lengths, breaks, days, as_of):
+    """Free minutes one by one, joined to runs."""
+    out = []
+    for day in days:
+        for shop, weekday, is_open, opens, closes, *_ in hours:
+            if not is_open or weekday != (day.weekday() + 1) % 7:
+                continue
+            free = [True] * 1440
+            for m in range(1440):
+                if dt.datetime.combine(day, dt.time()) + dt.timedelta(minutes=m) < as_of:
+                    free[m] = False
+            for b, e in [(m, m + lengths.get(i, 60)) for i, s, d, m in bookings if s == shop and d == day] + breaks.get((shop, weekday), []):
+                for m in range(max(b, 0), min(e, 1440)):
+                    free[m] = False
+            start = None
+            for m in range(opens, closes + 1):
+                if m < closes and free[m]:
+                    start = m if start is None else start
+                elif start is not None:
+                    out.append((shop, day, opens, start, m))
+                    start = None
+    return sorted(out)
+
+
+def test_gaps_and_first_starts_against_minutes(spark, tables):
+    """Overlapping, nested, touching and very many bookings, breaks, closing time, and a time of asking inside a day."""
+    r = random.Random(15)
+    as_of = dt.datetime(2001, 7, 16, 10, 7, 30)
+    days = [dt.date(2001, 7, 15) + dt.timedelta(i) for i in range(7)]
+    hours, breaks = [], {}
+    for shop in range(1, 7):
+        for weekday in range(7):
+            opens = r.choice((0, 540, 575))
+            pause = r.choice(((None, None), (720, 780), (opens, opens + 30), (800, 790)))
+            closes = r.choice((900, 1080, 1440))
+            hours.append((shop, weekday, r.random() < 0.8, opens, closes, *pause))
+            if pause[0] is not None and pause[0] < pause[1]:
+                breaks[shop, weekday] = [pause]
+    bookings = [(i, r.randrange(1, 7), r.choice(days), r.choice((0, 530, 570, 600, 615, 660, 719, 900, 1430)) + r.randrange(3)) for i in range(90)]
+    bookings += [(1000 + i, 1, days[3], 600 + i % 5) for i in range(400)]
+    lengths = {i: r.choice((5, 30, 45, 120, 300)) for i, *_ in bookings if r.random() < 0.8}
+    services = [(100 + n, r.randrange(1, 7), n) for n in sorted(set(lengths.values()))] + [(500 + i, 1 + i % 6, 15 * (1 + i % 40)) for i in range(40)]
+    by_length = {n: s for s, _, n in services if s < 500}
+    t = tables(
+        shops=([(i, "active") for i in range(1, 7)], "id LONG, shop_status STRING"),
+        shop_operating_hours=(hours, HOURS),
+        reservations=([(i, 5, s, d, m, r.choice(("requested", "confirmed")), None) for i, s, d, m in bookings]
+                      + [(9000, 5, 1, days[2], 600, "completed", None)], BOOKED),
+        reservation_services=([(i, by_length[n], 1) for i, n in lengths.items()], "reservation_id LONG, service_id LONG, quantity INT"),
+        shop_services=([(s, shop, n) for s, shop, n in services], "id LONG, shop_id LONG, duration_minutes INT"),
+    )
+    gaps = booking.bookable_gaps(t, days[0], 7, as_of)
+    want = brute_gaps(hours, bookings, lengths, breaks, days, as_of)
+    assert sorted(tuple(g) for g in gaps.collect()) == want
+    first = {}
+    for service, shop, n in services:
+        starts = [(d, o + 30 * k) for s, d, o, a, b in want if s == shop for k in range(48) if a <= o + 30 * k and o + 30 * k + n <= b]
+        if starts:
+            first[service] = min(starts)
+    got = {x.service_id: (x.day, x.start_minute) for x in booking.first_starts(t, gaps).collect()}
+    assert got == first and len(first) < len(services)
