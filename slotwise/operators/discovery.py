@@ -102,7 +102,7 @@ def _may_hold_nearest(cells: DataFrame, level: int, k: int) -> DataFrame:
 def _exposure_order() -> list[Column]:
     return [
         F.when(F.col("shop_type") == "partnered", 0).otherwise(1),
-        F.desc_nulls_last("partnership_started_on"),
+        F.desc_nulls_last("partnership_started_at"),
         F.col("id"),
     ]
 
@@ -116,7 +116,7 @@ def shop_exposure(shops: DataFrame, page: int = 0) -> DataFrame:
     # At most one page of rows is left here.
     place = F.row_number().over(Window.partitionBy(F.lit(page)).orderBy(*_exposure_order()))
     return top.select(
-        "id", "name", "shop_type", "partnership_started_on", (place + page * PAGE_SIZE).alias("position")
+        "id", "name", "shop_type", "partnership_started_at", (place + page * PAGE_SIZE).alias("position")
     )
 
 
@@ -132,7 +132,7 @@ def shop_exposure_by_category(shops: DataFrame) -> DataFrame:
     """First page of the default order in each category."""
     active = shops.filter(F.col("shop_status") == "active")
     listed = category_membership(active).withColumnRenamed("shop_id", "id").join(
-        active.select("id", "shop_type", "partnership_started_on"), "id"
+        active.select("id", "shop_type", "partnership_started_at"), "id"
     )
     place = F.row_number().over(Window.partitionBy("category").orderBy(*_exposure_order()))
     return listed.withColumn("position", place).filter(F.col("position") <= PAGE_SIZE)

@@ -168,13 +168,14 @@ def visible_reservations(tables, principals: DataFrame | None = None) -> DataFra
     """All that principals may read of the bookings: their own, those of their shops, and for
     administrators the whole table (``reservation_id`` NULL, scope ``table``)."""
     rules = [r for r in rules_for("reservations", "select") if r.shape in ("own", "shop")]
+    key = tables["reservations"].schema["id"].dataType
     rows = row_grants(tables, rules, principals).select(
-        "principal_id", F.col("row_id").cast("long").alias("reservation_id"), F.lit("row").alias("scope")
+        "principal_id", F.col("row_id").cast(key).alias("reservation_id"), F.lit("row").alias("scope")
     ).distinct()
     whole = admins(tables)
     if principals is not None:
         whole = whole.join(principals.select("principal_id").distinct(), "principal_id", "left_semi")
-    whole = whole.select("principal_id", F.lit(None).cast("long").alias("reservation_id"), F.lit("table").alias("scope"))
+    whole = whole.select("principal_id", F.lit(None).cast(key).alias("reservation_id"), F.lit("table").alias("scope"))
     # An administrator's single rows are part of the whole table.
     return rows.join(whole.select("principal_id"), "principal_id", "left_anti").unionByName(whole)
 

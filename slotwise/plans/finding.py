@@ -25,11 +25,11 @@ def _(t):
     return discovery.nearby_shops(t["users"], t["shops"])
 
 
-EXPOSURE = "CASE WHEN shop_type='partnered' THEN 0 ELSE 1 END, partnership_started_on DESC NULLS LAST, id"
+EXPOSURE = "CASE WHEN shop_type='partnered' THEN 0 ELSE 1 END, partnership_started_at DESC NULLS LAST, id"
 
 
 @query("shop_exposure", f"""
-SELECT id, name, shop_type, partnership_started_on, position FROM (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {EXPOSURE}) AS INT) AS position FROM {ACTIVE} s) x
+SELECT id, name, shop_type, partnership_started_at, position FROM (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {EXPOSURE}) AS INT) AS position FROM {ACTIVE} s) x
 WHERE position BETWEEN 1 AND 30""")
 def _(t):
     return discovery.shop_exposure(t["shops"])
@@ -44,8 +44,8 @@ def _(t):
 
 
 @query("shop_exposure_by_category", f"""
-WITH m AS ({MEMBERS}) SELECT id, category, shop_type, partnership_started_on, position FROM (
-  SELECT s.id, m.category, s.shop_type, s.partnership_started_on, CAST(ROW_NUMBER() OVER (PARTITION BY m.category ORDER BY {EXPOSURE}) AS INT) AS position
+WITH m AS ({MEMBERS}) SELECT id, category, shop_type, partnership_started_at, position FROM (
+  SELECT s.id, m.category, s.shop_type, s.partnership_started_at, CAST(ROW_NUMBER() OVER (PARTITION BY m.category ORDER BY {EXPOSURE}) AS INT) AS position
   FROM m JOIN {ACTIVE} s ON s.id=m.shop_id) x WHERE position<=30""")
 def _(t):
     return discovery.shop_exposure_by_category(t["shops"])

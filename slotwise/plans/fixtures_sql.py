@@ -33,7 +33,7 @@ SELECT s_suppkey AS id, s_suppkey AS owner_id, s_name AS name,
   CASE s_suppkey%10 WHEN 9 THEN 'suspended' WHEN 8 THEN 'pending_approval' ELSE 'active' END AS shop_status,
   CASE s_suppkey%4 WHEN 0 THEN 'nail' WHEN 1 THEN 'eyelash' WHEN 2 THEN 'waxing' ELSE 'eyebrow_tattoo' END AS main_category,
   CASE s_suppkey%3 WHEN 0 THEN ['nail','waxing'] WHEN 1 THEN ['eyelash'] END AS sub_categories,
-  CASE WHEN s_suppkey%3=0 THEN DATE '1999-01-01'+CAST((s_suppkey*13)%900 AS INT) END AS partnership_started_on,
+  CASE WHEN s_suppkey%3=0 THEN TIMESTAMP '1999-01-01 00:00:00'+INTERVAL '1' DAY*CAST((s_suppkey*13)%900 AS INT) END AS partnership_started_at,
   s_suppkey%50 AS total_bookings,
   37.43+CAST((s_suppkey*37)%100 AS DOUBLE)*0.0027 AS latitude, 126.77+CAST((s_suppkey*61)%100 AS DOUBLE)*0.0041 AS longitude,
   TIMESTAMP '1998-01-01 00:00:00'+INTERVAL '1' DAY*CAST(s_suppkey%700 AS INT) AS created_at

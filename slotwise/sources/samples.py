@@ -123,9 +123,7 @@ def shops(t: Tables) -> DataFrame:
         F.when(k % 3 == 0, F.array(F.lit("nail"), F.lit("waxing")))
         .when(k % 3 == 1, F.array(F.lit("eyelash")))
         .alias("sub_categories"),
-        F.when(k % 3 == 0, F.date_add(F.lit("1999-01-01").cast("date"), (k * 13 % 900).cast("int"))).alias(
-            "partnership_started_on"
-        ),
+        F.when(k % 3 == 0, _day0("1999-01-01", k * 13 % 900)).alias("partnership_started_at"),
         (k % 50).alias("total_bookings"),
         (37.43 + (k * 37 % 100).cast("double") * 0.0027).alias("latitude"),
         (126.77 + (k * 61 % 100).cast("double") * 0.0041).alias("longitude"),
