@@ -63,7 +63,7 @@ def test_exposure_puts_latest_partners_first(spark):
         [(1, "a", "non_partnered", "active", None), (2, "b", "partnered", "active", dt.date(2000, 1, 1)),
          (3, "c", "partnered", "active", dt.date(2001, 1, 1)), (4, "d", "partnered", "active", None),
          (5, "e", "partnered", "suspended", dt.date(2002, 1, 1))],
-        "id LONG, name STRING, shop_type STRING, shop_status STRING, partnership_started_on DATE",
+        "id LONG, name STRING, shop_type STRING, shop_status STRING, partnership_started_at DATE",
     )
     assert [r.id for r in discovery.shop_exposure(shops).orderBy("position").collect()] == [3, 2, 4, 1]
     assert discovery.shop_exposure(shops, page=1).count() == 0

@@ -5,6 +5,7 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from slotwise.sources import model, store
 from slotwise.sources.samples import open_samples
@@ -92,3 +93,42 @@ def test_completion_period_reaches_the_scan(spark, tmp_path):
     df = store.load(spark, str(tmp_path), "reservations")
     text = plan(df.filter(in_days(df.completed_at, dt.date(2001, 6, 1), dt.date(2001, 6, 30), "Asia/Seoul")).select("id"))
     assert "GreaterThanOrEqual(completed_at," in text and "LessThan(completed_at," in text
+
+
+def test_operators_read_the_declared_layout(spark, tmp_path):
+    """What reads columns or tables that only the sample had, or takes keys for numbers, gives the same on stored tables."""
+    from slotwise.operators import discovery, outreach, visibility
+
+    now = dt.datetime(2001, 7, 15, 12)
+    t = open_samples(spark, SAMPLE)
+    for name in ("users", "shops", "shop_services", "reservations", "reviews", "promotions", "promotion_usages", "reservation_services"):
+        store.save(t[name], str(tmp_path), name)
+    kept = store.open_store(spark, str(tmp_path))
+    claims = t["promotion_claims"].withColumns({c: F.col(c).cast("string") for c in ("promotion_id", "user_id")})
+    jobs = {
+        # Ties go by key, which is a text there, so places are compared and not the keys in them.
+        "exposure": lambda t: discovery.shop_exposure(t["shops"]).selectExpr("position", "shop_type", "CAST(partnership_started_at AS DATE)"),
+        "categories": lambda t: discovery.shop_exposure_by_category(t["shops"]).selectExpr("category", "position", "shop_type"),
+        "nearby": lambda t: discovery.nearby_shops(t["users"], t["shops"]).select("user_id", "shop_id"),
+        "search": lambda t: discovery.shop_search(t, "ring", category="nail", price=(0, 10**9), min_rating=1.0).select("shop_id"),
+        "cards": lambda t: discovery.shop_cards(t, 37.5665, 126.978).select("shop_id", "rating", "bookings", "lowest_price"),
+        "rating": discovery.rating_summary,
+        "popular": lambda t: discovery.popular_shops(t).select("id", "bookings"),
+        "usage": outreach.promotion_usage,
+        "claims": lambda t: outreach.promotion_eligibility(t, claims, now),
+        "visible": visibility.visible_reservations,
+    }
+    for name, job in jobs.items():
+        texts = [sorted(str([None if v is None else str(v) for v in r]) for r in job(tables).collect()) for tables in (t, kept)]
+        assert texts[0] == texts[1] and texts[0], name
+
+
+def test_bookings_are_visible_by_keys_of_any_kind(tables):
+    from slotwise.operators import visibility
+
+    t = tables(
+        users=([("u-1", "user"), ("u-2", "shop_owner"), ("u-3", "admin")], "id STRING, user_role STRING"),
+        shops=([("s-1", "u-2")], "id STRING, owner_id STRING"),
+        reservations=([("r-uuid", "u-1", "s-1")], "id STRING, user_id STRING, shop_id STRING"),
+    )
+    assert rows(visibility.visible_reservations(t)) == [("u-1", "r-uuid", "row"), ("u-2", "r-uuid", "row"), ("u-3", None, "table")]
