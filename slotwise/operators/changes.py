@@ -128,7 +128,7 @@ def held_accounts(holds: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    return rows.join(gone.select(F.col("id").alias(column)), column, "left_anti")
+    return rows.join(gone.select(F.col("id").alias(column)), column, "left_anti").select(*rows.columns)
 
 
 def erase_users(tables, requested: DataFrame) -> dict[str, DataFrame]:

@@ -169,13 +169,13 @@ def _(t):
 _OTHER_KEYS = [
     "shop_services", "payments", "point_transactions", "shop_settlements", "settlement_transfers", "shop_settlement_configs",
     "reservation_services", "reservation_actions", "user_settings", "push_tokens", "notifications", "content_reports", "promotions",
-    "shop_applications", "shop_notification_settings", "shop_images", "service_images", "system_settings",
+    "shop_applications", "shop_notification_settings", "shop_images", "service_images", "system_settings", "app_configs",
 ]
 _OTHER_ENUMS = ["shop_applications"]
 
 
 @query("key_violations_other", "\nUNION ALL ".join([
-    _unique("shop_services", "id"), *[_missing("shop_services", c) for c in ("id", "shop_id", "name", "category")],
+    _unique("shop_services", "id"), *[_missing("shop_services", c) for c in ("id", "shop_id", "name", "category")], _unique("app_configs", "config_key"),
     _long("shop_services", "name", 255), _orphan("shop_services", "shop_id", "shops"),
     _unique("payments", "id"), *[_missing("payments", c) for c in ("id", "reservation_id", "user_id", "payment_method", "amount")],
     _orphan("payments", "reservation_id", "reservations"), _orphan("payments", "user_id", "users"),

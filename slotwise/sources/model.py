@@ -298,7 +298,7 @@ COLUMNS: dict[str, str] = {
 # What the jobs read beyond the data model above, declared by this project: where users are, what they think of a visit,
 # and who used which promotion.
 COLUMNS["users"] += ", latitude DECIMAL(10,8), longitude DECIMAL(11,8)"
-COLUMNS |= {
+OWN_COLUMNS: dict[str, str] = {
     "reviews": "id STRING, reservation_id STRING, user_id STRING, shop_id STRING, rating INT, created_at TIMESTAMP",
     "promotion_usages": "id STRING, promotion_id STRING, user_id STRING, used_at TIMESTAMP",
 }

@@ -40,7 +40,7 @@ class Tables(Mapping[str, DataFrame]):
 
 
 def schema(table: str) -> T.StructType:
-    return T.StructType.fromDDL(model.COLUMNS[table])
+    return T.StructType.fromDDL((model.COLUMNS | model.OWN_COLUMNS)[table])
 
 
 def load(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -54,7 +54,7 @@ def load(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def open_store(spark: SparkSession, root: str) -> Tables:
-    return Tables({name: (lambda _t, n=name: load(spark, root, n)) for name in model.COLUMNS})
+    return Tables({name: (lambda _t, n=name: load(spark, root, n)) for name in model.COLUMNS | model.OWN_COLUMNS})
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
