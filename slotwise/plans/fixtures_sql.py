@@ -175,6 +175,8 @@ FROM conversations a JOIN (SELECT conv_id, STRING_AGG(text, CHR(10) ORDER BY tur
 SELECT CONCAT(CAST(s_suppkey AS STRING),'-',CAST(d AS STRING)) AS id, s_suppkey AS shop_id, d AS display_order FROM supplier CROSS JOIN (VALUES (0),(1)) AS t(d)""",
     "service_images": """
 SELECT CONCAT('img-',CAST(id AS STRING)) AS id, id AS service_id FROM shop_services""",
+    "app_configs": """
+SELECT CONCAT('config_',CAST(p_partkey AS STRING)) AS config_key, CASE p_partkey%3 WHEN 0 THEN 'ios' WHEN 1 THEN 'android' ELSE 'all' END AS platform FROM part""",
     "reservation_actions": """
 SELECT CONCAT('A',CAST(id AS STRING)) AS id, id AS reservation_id, status AS action, shop_id AS performed_by, 'requested' AS previous_status,
   status AS new_status, created_at FROM reservations WHERE status IN ('confirmed','cancelled_by_shop')""",
