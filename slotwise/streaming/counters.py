@@ -36,7 +36,7 @@ def _keep(changes: DataFrame, kept: tuple[str, str], images: Callable[[DataFrame
     def write(batch: DataFrame, number: int) -> None:
         levels.write(images(batch), number)
 
-    return start(changes.dropDuplicates(["change_id"]).writeStream.foreachBatch(write), checkpoint)
+    return start(changes.sparkSession, changes.dropDuplicates(["change_id"]).writeStream.foreachBatch(write), checkpoint)
 
 
 def keep_shop_bookings(reservations: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -123,7 +123,7 @@ def keep_referrals(changes: DataFrame, target: str, checkpoint: str) -> Streamin
         people.write(marks, number)
         marks.unpersist()
 
-    return start(changes.dropDuplicates(["change_id"]).writeStream.foreachBatch(write), checkpoint)
+    return start(spark, changes.dropDuplicates(["change_id"]).writeStream.foreachBatch(write), checkpoint)
 
 
 def _worth(references: DataFrame) -> DataFrame:
