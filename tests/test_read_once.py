@@ -45,6 +45,15 @@ def star(spark, folder):
     return str(folder)
 
 
+def test_nearest_shops_are_sorted_inside_a_user(spark):
+    shops = spark.range(50).select("id", F.lit("active").alias("shop_status"), (37.5 + F.col("id") * 0.001).alias("latitude"), F.lit(127.0).alias("longitude"))
+    users = spark.createDataFrame([(1, 37.5, 127.0), (2, 37.5, 127.0), (2, 37.5, 127.0)], "id long, latitude double, longitude double")
+    got = discovery.nearby_shops(users, shops, k=4)
+    found = {u: [(r.position, r.shop_id) for r in sorted(got.collect(), key=lambda r: r.position) if r.user_id == u] for u in (1, 2)}
+    assert found == {1: [(1, 0), (2, 1), (3, 2), (4, 3)], 2: [(1, 0), (2, 0), (3, 1), (4, 1)]}
+    assert "rows#" in plan(got) and "array_sort" in plan(got)
+
+
 def test_state_of_streams_lies_on_disk(spark, tmp_path):
     folder, schema = f"{tmp_path}/in", "id string, user_id long, amount long, status string, available_from timestamp_ntz, expires_at timestamp_ntz, created_at timestamp_ntz"
     ledger = spark.createDataFrame([("a", 1, 5, "available", None, None, dt.datetime(2001, 1, 1))] * 2, schema)
