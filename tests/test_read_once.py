@@ -45,6 +45,22 @@ def star(spark, folder):
     return str(folder)
 
 
+@pytest.mark.parametrize("name", [
+    "key_violations_other",
+])
+def test_bookings_are_made_once(spark, tmp_path, name):
+    df = QUERIES[name].run(spark, star(spark, tmp_path))
+    assert "Aggregate [l_orderkey" not in plan(df)
+    assert df.count() > 0
+
+
+def test_written_tables_feed_the_ones_made_of_them(spark):
+    t = Tables({"a": lambda _t: spark.range(3), "b": lambda t: t["a"].select((F.col("id") + 1).alias("n"))})
+    once = written_once(t, "a")
+    assert rows(once["b"]) == [(1,), (2,), (3,)]
+    assert "Range" in plan(t["b"]) and "Range" not in plan(once["b"])
+
+
 def test_nearest_shops_are_sorted_inside_a_user(spark):
     shops = spark.range(50).select("id", F.lit("active").alias("shop_status"), (37.5 + F.col("id") * 0.001).alias("latitude"), F.lit(127.0).alias("longitude"))
     users = spark.createDataFrame([(1, 37.5, 127.0), (2, 37.5, 127.0), (2, 37.5, 127.0)], "id long, latitude double, longitude double")
