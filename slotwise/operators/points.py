@@ -180,12 +180,12 @@ def point_redemption(requests: DataFrame, balances: DataFrame) -> DataFrame:
     Order matters, so a plain running sum is not enough. All users are decided together in
     rounds that never hold a user's requests in one task, see ``_rounds``.
     """
-    asked = requests.select("request_id", "user_id", "requested_at", "amount")
-    users = asked.select("user_id").distinct()
-    funded = users.join(balances.select("user_id", "available_points"), "user_id", "left").select(
-        "user_id", F.coalesce("available_points", F.lit(0)).cast("long").alias("funds")
+    asked = requests.filter(F.col("user_id").isNotNull()).select("request_id", "user_id", "requested_at", "amount")
+    held = balances.select("user_id", F.col("available_points").alias("held"))
+    funded = join_per_key(asked, held, "user_id", "request_id", "left").select(
+        *asked.columns, F.coalesce("held", F.lit(0)).cast("long").alias("funds")
     )
-    return _rounds(join_per_key(asked, funded, "user_id", "request_id"))
+    return _rounds(funded)
 
 
 def _rounds(queued: DataFrame) -> DataFrame:

@@ -61,6 +61,19 @@ def test_written_tables_feed_the_ones_made_of_them(spark):
     assert "Range" in plan(t["b"]) and "Range" not in plan(once["b"])
 
 
+def test_requests_are_read_once(spark, monkeypatch):
+    asked = spark.range(4).select(
+        F.col("id").alias("request_id"), F.when(F.col("id") < 3, F.col("id") % 2).alias("user_id"), F.lit(dt.datetime(2001, 1, 1)).alias("requested_at"),
+        F.lit(5).cast("long").alias("amount"),
+    )
+    seen, write = [], points.cut_lineage
+    monkeypatch.setattr(points, "cut_lineage", lambda df: seen.append(plan(df)) or write(df))
+    got = points.point_redemption(asked, spark.createDataFrame([(0, 7)], "user_id long, available_points long"))
+    # Nobody's request is none; of user 0 the first one fits, user 1 has nothing.
+    assert rows(got) == [(0, 0, 5, True), (1, 1, 5, False), (2, 0, 5, False)]
+    assert seen[0].count("Range (0, 4") == 1
+
+
 def test_nearest_shops_are_sorted_inside_a_user(spark):
     shops = spark.range(50).select("id", F.lit("active").alias("shop_status"), (37.5 + F.col("id") * 0.001).alias("latitude"), F.lit(127.0).alias("longitude"))
     users = spark.createDataFrame([(1, 37.5, 127.0), (2, 37.5, 127.0), (2, 37.5, 127.0)], "id long, latitude double, longitude double")
