@@ -46,7 +46,7 @@ def star(spark, folder):
 
 
 @pytest.mark.parametrize("name", [
-    "key_violations_other", "erase_users_counts", "erase_users_ledger", "erase_users_payments", "visible_owner2",
+    "key_violations_other", "erase_users_counts", "erase_users_ledger", "erase_users_payments", "visible_owner2", "visible_reservations",
 ])
 def test_bookings_are_made_once(spark, tmp_path, name):
     df = QUERIES[name].run(spark, star(spark, tmp_path))
