@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import at, in_days
 from ..functions.masking import mask_id
+from .durable import cut_lineage
 from .spread import running_totals
 
 # Referrals and paying referrals an influencer needs, alphabet of codes.
@@ -198,10 +199,11 @@ def referral_codes(users: DataFrame, length: int = CODE_LENGTH) -> DataFrame:
     the numbers that nobody holds, the r-th user gets the r-th. The same users get the same codes in every run.
     Where more users ask than codes are left, it fails.
     """
-    held = with_numbers(
-        users.filter(F.col("referral_code").isNotNull()).select(F.col("referral_code").alias("code")).distinct(), "code", "held", length
-    ).filter(F.col("held").isNotNull()).select("held")
-    asking = users.filter(F.col("referral_code").isNull()).select("id")
+    # Codes may be costly to come by, and all of this is read several times. No filter goes below a written table.
+    own = cut_lineage(users.select("id", F.col("referral_code").alias("code")))
+    codes = own.filter(F.col("code").isNotNull()).select("code").distinct()
+    held = cut_lineage(with_numbers(codes, "code", "held", length).filter(F.col("held").isNotNull()).select("held"))
+    asking = own.filter(F.col("code").isNull()).select("id")
     n_held, n_asking = held.count(), asking.count()
     left = len(CODE_ALPHABET) ** length - n_held
     if n_asking > left:

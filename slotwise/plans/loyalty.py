@@ -216,7 +216,8 @@ free AS (SELECT code, ROW_NUMBER() OVER (ORDER BY n) AS r FROM ({_code_sql("n",
 SELECT id, code FROM asking JOIN free ON free.r=asking.r""")
 def _(t):
     # A third of the users have no code yet; another third hold codes that would be given out, every second number.
-    planted = referrals.with_codes(t["users"].withColumn("n", F.floor(F.col("id") / 3) * 2), "n", "planted")
+    people = t["users"].repartition("id")  # one file is one task otherwise
+    planted = referrals.with_codes(people.withColumn("n", F.floor(F.col("id") / 3) * 2), "n", "planted")
     return referrals.referral_codes(
         planted.withColumn("referral_code", F.when(F.col("id") % 3 == 1, F.col("planted")).when(F.col("id") % 3 == 2, F.col("referral_code")))
     )

@@ -74,6 +74,14 @@ def test_requests_are_read_once(spark, monkeypatch):
     assert seen[0].count("Range (0, 4") == 1
 
 
+def test_codes_are_turned_back_once(spark, monkeypatch):
+    users = spark.range(6).select("id", F.when(F.col("id") > 2, F.lpad(F.col("id").cast("string"), 8, "A")).alias("referral_code"))
+    seen, total = [], referrals.running_totals
+    monkeypatch.setattr(referrals, "running_totals", lambda df, *a, **k: seen.append(plan(df)) or total(df, *a, **k))
+    assert len({r.code for r in referrals.referral_codes(users).collect()}) == 3
+    assert all("Range (" not in p for p in seen)
+
+
 def test_nearest_shops_are_sorted_inside_a_user(spark):
     shops = spark.range(50).select("id", F.lit("active").alias("shop_status"), (37.5 + F.col("id") * 0.001).alias("latitude"), F.lit(127.0).alias("longitude"))
     users = spark.createDataFrame([(1, 37.5, 127.0), (2, 37.5, 127.0), (2, 37.5, 127.0)], "id long, latitude double, longitude double")
