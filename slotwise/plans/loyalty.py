@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import analytics, points, referrals
-from ..operators.durable import written_once
 from .registry import AS_OF, query
 
 NOW = "TIMESTAMP '2001-07-15 12:00:00'"
@@ -123,7 +122,6 @@ walk AS (SELECT request_id, user_id, amount, n, amount>0 AND amount<=funds AS ac
 
 @query("point_redemption", SPEND + "SELECT request_id, user_id, amount, accepted FROM walk")
 def _(t):
-    t = written_once(t, "reservations")
     funds = points.ledger_balances(t["point_transactions"], AS_OF)
     return points.point_redemption(_spend_requests(t), funds)
 
@@ -131,7 +129,6 @@ def _(t):
 @query("point_redemption_rows", SPEND + f"""SELECT CONCAT('S',CAST(request_id AS STRING)) AS id, user_id, 'used_service' AS transaction_type,
   -amount AS amount, 'available' AS status, {NOW} AS created_at FROM walk WHERE accepted""")
 def _(t):
-    t = written_once(t, "reservations")
     funds = points.ledger_balances(t["point_transactions"], AS_OF)
     return points.redemption_rows(points.point_redemption(_spend_requests(t), funds), AS_OF)
 
